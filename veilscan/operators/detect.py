@@ -15,11 +15,12 @@ from ..functions.entropy import (
     may_hold_token,
 )
 from ..functions.hof import let, match_spans
-from ..functions.paths import exclude_walk, filename_finding, suspicious_name
+from ..functions.paths import exclude_exact, exclude_walk, filename_finding, suspicious_name
 from ..functions.redact import hit_snippet, line_chunks
 from ..functions.text import is_binary_text, lines, split_lines, universal_newlines
 from ..options import ScanOptions
 from ..rules import ENTROPY_RULE, RuleSet
+from .joins import semi_join
 
 CONTEXT = 30
 KIND_NAME, KIND_RULE, KIND_ENTROPY = 0, 1, 2
@@ -270,12 +271,13 @@ def scan_files(
     Excluded and binary files are dropped, lines are exploded, and one cheap
     test per line decides which run the detectors.  Line 0 stands for the file
     name, so the file-name detector needs no second pass over the table.
-    Nothing is shuffled; ``text_ready=False`` folds CR first.
+    Nothing is shuffled.  ``text_ready=False`` folds CR first; ``walk=False``
+    tests each path alone, without the directories above it.  Columns other
+    than path and text are kept.
     """
-    from ..functions.paths import exclude_exact
-
     rules, opts = rules or RuleSet.default(), opts or ScanOptions()
     path = F.col("path")
+    extra = [c for c in files.columns if c not in ("path", "text")]
     excluded = (
         exclude_walk(path, opts.exclude_patterns, root)
         if walk
@@ -288,6 +290,7 @@ def scan_files(
     worth = (suspicious | gate(F.col("text"), rules, opts)) & ~is_binary_text(F.col("text"))
     numbered = files.where(~excluded).select(
         "path",
+        *extra,
         F.when(suspicious, filename_finding(path)).alias("name"),
         F.posexplode_outer(F.when(worth, F.array_prepend(split_lines(text), F.lit("")))).alias(
             "line", "content"
@@ -310,6 +313,7 @@ def scan_files(
         numbered.where((at_name & name.isNotNull()) | (~at_name & gate(F.col("content"), rules, opts)))
         .select(
             "path",
+            *extra,
             "line",
             "name",
             F.inline_outer(F.when(at_name, from_name).otherwise(line_hits("content", rules, opts))),
@@ -322,13 +326,11 @@ def scan_files(
     found = describe(hits, rules).withColumns(
         {f: F.when(by_name, name[f]).otherwise(F.col(f)) for f in fields}
     )
-    return found.select(*FINDING_COLUMNS)
+    return found.select(*FINDING_COLUMNS, *extra)
 
 
 def scan_listed(
     files: DataFrame, paths: DataFrame, rules: RuleSet | None = None, opts: ScanOptions | None = None
 ) -> DataFrame:
     """Scan the files named in ``paths(path)``; a path without a file gives nothing."""
-    from .joins import semi_join
-
     return scan_files(semi_join(files, paths, "path"), rules, opts, walk=False)

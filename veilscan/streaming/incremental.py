@@ -39,17 +39,9 @@ def gate_files(
     rules: RuleSet | None = None,
     opts: ScanOptions | None = None,
 ) -> DataFrame:
-    """Verdict per change over ``files(change_id, path, text)``.
-
-    A change without findings has no row; ``path`` carries the change through
-    the scan, since both are constant per file.
-    """
-    tagged = staged(files).select(
-        F.concat_ws("\x1f", F.col("change_id").cast("string"), "path").alias("key"), "path", "text"
-    )
-    found = scan_files(tagged.select(F.col("key").alias("path"), "text"), rules, opts, walk=False)
-    change = F.substring_index(F.col("path"), "\x1f", 1)
-    return gate(found.withColumn("change_id", change), threshold)
+    """Verdict per change over ``files(change_id, path, text)``; a change
+    without findings has no row."""
+    return gate(scan_files(staged(files), rules, opts, walk=False), threshold)
 
 
 def write_verdicts(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .joins import semi_join
 
 PLACE = ["path", "line", "rule", "column"]
@@ -42,4 +43,4 @@ def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     costs less than moving all of them, and only for the changed paths.
     """
     changed = file_index(files).join(seen.select("path", "digest"), ["path", "digest"], "left_anti")
-    return semi_join(files, changed, "path")
+    return semi_join(files, checkpointed(changed.select("path")), "path")

@@ -181,7 +181,15 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, conversations=talk).drop("id")
 
 
+def pages_sql(source: str, dialect: dict[str, str]) -> str:
+    """Web pages under their addresses, with a planted comment and script."""
+    return f"""
+    SELECT concat(url, '#', cast(id as string), CASE WHEN id % 6 = 2 THEN '/private.html' ELSE '/page.html' END) AS path,
+      concat(html, chr(10), '<!-- ', planted, ' -->', chr(10),
+        '<script src="https://cdn.example.org/', a, '.js"></script>', chr(10), '<p>', b, '</p>') AS text
+    FROM (SELECT *, {planted_line()} AS planted FROM ({_hashed(source, "page_id", "url, html", dialect)}) x) y"""
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages under their addresses: files with paths of their own."""
-    table_ = spread(table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return table_.selectExpr("concat(cast(page_id as string), '/', url) AS path", "html AS text")
+    web = spread(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return spark.sql(pages_sql("{pages}", SPARK), pages=web)

@@ -20,7 +20,7 @@ from ..functions.text import EXPOSURE_WORDS
 from ..operators import remediate
 from ..options import HARMLESS
 from ..rules import RuleSet
-from .corpus import DUCKDB, commits_sql, diffs_sql, files_sql
+from .corpus import DUCKDB, commits_sql, diffs_sql, files_sql, pages_sql
 
 RULES = RuleSet.default().rules
 RUN = r"[\p{L}\p{N}_\-+=/.]"
@@ -404,12 +404,12 @@ def build() -> dict[str, str]:
     o["det1_pattern_scan"] = f'WITH {LINES} SELECT path, line, rule, token, s AS start, e AS "end", confidence FROM ({rule_hits("lines")}) x'
     natural = """all_texts AS (SELECT concat('doc', cast(doc_id AS VARCHAR)) AS path, text FROM documents
       UNION ALL SELECT concat('talk', cast(conv_id AS VARCHAR), '.', cast(turn AS VARCHAR)), text FROM conversations
-      UNION ALL SELECT concat(cast(page_id AS VARCHAR), '/', url), html FROM pages)"""
+      UNION ALL SELECT concat('page', cast(page_id AS VARCHAR)), html FROM pages)"""
     o["det1_natural_text"] = f'WITH {natural}, lines AS MATERIALIZED ({lines_of("all_texts")}) SELECT path, line, rule, token, s AS start, e AS "end" FROM ({rule_hits("lines")}) x'
     o["det2_entropy_scan"] = f'WITH {LINES} SELECT path, line, token, s AS start, e AS "end", round(h, 9) AS entropy, round(confidence, 9) AS confidence FROM ({entropy_hits("lines")}) x'
     o["det3_filename_scan"] = f"WITH {FILES} SELECT * FROM (SELECT path, {name_finding()} FROM ({parted()}) x) y WHERE rule IS NOT NULL"
     o["det4_combined_scan"] = f'{FOUND} SELECT {SHOWN}, kind, "end" FROM found'
-    o["det4_web_pages"] = f"WITH web AS (SELECT concat(cast(page_id AS VARCHAR), '/', url) AS path, html AS text FROM pages), {found_in('web', excluded_walk())} SELECT {SHOWN} FROM found"
+    o["det4_web_pages"] = f"WITH web AS MATERIALIZED ({pages_sql('pages', DUCKDB)}), {found_in('web', excluded_walk())} SELECT {SHOWN} FROM found"
     o["det5_commit_scan"] = f'WITH {COMMIT_FOUND} SELECT sha, diff_ord, path, line, s AS "column", rule, token, snippet FROM commit_found'
     catalogue = ", ".join(f"({i}, {q(r.name)}, {q(r.pattern)}, {r.group}, cast({r.confidence} AS DOUBLE))" for i, r in enumerate(RULES))
     o["det6_rule_info"] = f"""WITH {LINES}, counted AS (SELECT rule, count(*) AS n FROM ({rule_hits('lines')}) x GROUP BY rule)

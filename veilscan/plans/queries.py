@@ -336,10 +336,11 @@ def det1_natural_text(spark, sf):
     """The rule detector on documents, pages and conversations as they are."""
     docs = spread(corpus.table(spark, sf, "documents", "doc_id", "text"))
     talk = spread(corpus.table(spark, sf, "conversations", "conv_id", "turn", "text"))
+    web = spread(corpus.table(spark, sf, "pages", "page_id", "html"))
     all_texts = (
         docs.selectExpr("concat('doc', cast(doc_id as string)) AS path", "text")
         .union(talk.selectExpr("concat('talk', cast(conv_id as string), '.', cast(turn as string))", "text"))
-        .union(corpus.pages(spark, sf))
+        .union(web.selectExpr("concat('page', cast(page_id as string))", "html"))
     )
     return detect.scan_text(all_texts).select("path", "line", "rule", "token", "start", "end")
 

@@ -2,31 +2,114 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import exclude_walk
+from ..functions.paths import exclude_exact
 from ..functions.text import decode_utf8, is_binary, universal_newlines
 from ..operators.detect import scan_files
 from ..options import ScanOptions
 from ..rules import RuleSet
+from ..session import checkpointed
+
+BATCH_BYTES = 32 << 20
+
+
+def list_entries(dirs: DataFrame) -> DataFrame:
+    """The entries of each directory: ``path, is_dir``.
+
+    Spark's own file sources pass over names that begin with a dot or an
+    underscore, among them ``.env`` and ``__init__.py``, so directories are
+    listed here, one row each.  One that cannot be listed gives nothing, and
+    links to directories are not followed.
+    """
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
 
+        def of(folder: str) -> list[tuple[str, bool]]:
+            if ":" not in folder:
+                with os.scandir(folder) as found:
+                    return [(e.path, e.is_dir(follow_symlinks=False)) for e in found if e.is_file() or not e.is_symlink()]
+            system, inner = pafs.FileSystem.from_uri(folder)
+            infos = system.get_file_info(pafs.FileSelector(inner))
+            return [(f"{folder}/{i.base_name}", i.type == pafs.FileType.Directory) for i in infos]
 
-def local_root(directory: str) -> str:
-    """The directory as the file source spells it in ``path``."""
-    return directory.rstrip("/") if ":" in directory else "file:" + directory.rstrip("/")
+        for batch in batches:
+            for folder in batch["path"]:
+                try:
+                    rows = of(folder)
+                except OSError:
+                    rows = []
+                yield pd.DataFrame(rows, columns=["path", "is_dir"])
 
+    return dirs.select("path").mapInPandas(entries, "path string, is_dir boolean")
 
-def read_directory(spark: SparkSession, directory: str, opts: ScanOptions | None = None) -> DataFrame:
-    """All files below a directory, decoded; excluded and binary ones dropped.
 
-    The binary test needs the raw bytes, so it runs here.  Every expression is
-    null-safe: a file that cannot be decoded costs its bad bytes, not the job.
+def walk(spark: SparkSession, directory: str, patterns: tuple[str, ...]) -> DataFrame:
+    """``path`` of every file below a directory that no pattern excludes.
+
+    One round per level of the tree; an excluded directory is not listed at
+    all.  Only paths are held, and each level is written once.
+    """
+    local = re.sub("^file:/+", "/", directory)
+    root = directory.rstrip("/") if ":" in local else os.path.abspath(local)
+    level = spark.createDataFrame([(root,)], "path string")
+    files = level.limit(0)
+    kept = ~exclude_exact(F.col("path"), patterns)
+    while not level.isEmpty():
+        # A directory with very many entries is listed by one task; its
+        # subdirectories are spread again before the next round.
+        found = checkpointed(list_entries(level.repartition("path")).where(kept))
+        files = files.union(found.where(~F.col("is_dir")).select("path"))
+        level = found.where("is_dir").select("path")
+    return files
+
+
+def read_bytes(paths: DataFrame) -> DataFrame:
+    """``path, content``; null content for a file that cannot be read."""
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+
+        def load(path: str) -> bytes | None:
+            try:
+                if ":" not in path:
+                    with open(path, "rb") as f:
+                        return f.read()
+                system, inner = pafs.FileSystem.from_uri(path)
+                with system.open_input_stream(inner) as f:
+                    return f.read()
+            except OSError:
+                return None
+
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch["path"]:
+                content = load(path)
+                rows.append((path, content))
+                size += len(content or b"")
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return paths.select("path").mapInPandas(contents, "path string, content binary")
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """The listed files, decoded; binary and unreadable ones are dropped.
+
+    Paths are spread by hash first, so the files of one large directory are
+    read by many tasks.
     """
-    opts = opts or ScanOptions()
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     return (
-        raw.where(~exclude_walk(F.col("path"), opts.exclude_patterns, local_root(directory)))
+        read_bytes(paths.repartition("path"))
         .where(~is_binary(F.col("content")))
         .select("path", universal_newlines(decode_utf8(F.col("content"))).alias("text"))
     )
@@ -40,10 +123,21 @@ def scan_directory(
 ) -> DataFrame:
     """Findings of all files below a directory."""
     opts = opts or ScanOptions()
-    files = read_directory(spark, directory, opts)
-    return scan_files(files, rules, opts, root=local_root(directory))
+    files = read_files(walk(spark, directory, opts.exclude_patterns))
+    return scan_files(files, rules, opts, walk=False)
+
+
+def scan_paths(
+    spark: SparkSession,
+    paths: list[str],
+    rules: RuleSet | None = None,
+    opts: ScanOptions | None = None,
+) -> DataFrame:
+    """Findings of the files listed; a missing one yields nothing."""
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return scan_files(read_files(listed), rules, opts, walk=False)
 
 
 def files_from(table: DataFrame, path: str, text: str) -> DataFrame:
-    """Any text-bearing table in the role of files."""
+    """Any text-bearing table in the role of files, by two SQL expressions."""
     return table.select(F.expr(path).alias("path"), F.expr(text).alias("text"))

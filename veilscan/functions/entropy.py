@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..options import HARMLESS, MAX_TOKEN_LENGTH
 from .hof import let, match_spans
+from .text import has_long_word
 
 
 def _chars(s: Column) -> Column:
@@ -27,12 +28,18 @@ def char_histogram(s: Column) -> Column:
 
 
 def shannon_entropy(s: Column) -> Column:
-    """Bits per character; 0.0 for the empty string."""
-    return F.aggregate(
-        F.transform(char_histogram(s), lambda h: h["n"] / F.length(s)),
-        F.lit(0.0),
-        lambda total, p: total - p * F.log2(p),
+    """Bits per character; 0.0 for the empty string.
+
+    The terms are added in order of first appearance, so a value at a
+    threshold does not depend on the plan.
+    """
+    shares = let(
+        F.length(s),
+        lambda n: F.transform(
+            F.array_distinct(_chars(s)), lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n
+        ),
     )
+    return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
 
 
 def is_high_entropy(s: Column, threshold: float = 4.0, min_length: int = 20) -> Column:
@@ -100,14 +107,15 @@ def extract_tokens(
     )
     none = F.array().cast("array<struct<token:string,entropy:double,start:int,end:int>>")
     return F.when(
-        F.exists(F.regexp_extract_all(text, runs, F.lit(0)), maybe),
+        has_long_word(text, min_length) & F.exists(F.regexp_extract_all(text, runs, F.lit(0)), maybe),
         F.filter(scored, lambda s: s["entropy"] >= threshold),
     ).otherwise(none)
 
 
 def may_hold_token(text: Column, min_length: int = 20) -> Column:
     """False only where no run of the least length exists."""
-    return text.rlike(re.sub(r",}\+$", "}", run_pattern(min_length)))
+    run = re.sub(r",}\+$", "}", run_pattern(min_length))
+    return has_long_word(text, min_length) & text.rlike(run)
 
 
 def entropy_advice(entropy: Column) -> Column:

@@ -34,6 +34,16 @@ def lines(df: DataFrame, text: str = "text", start_line: int = 1) -> DataFrame:
     ).select(*keep, (F.col("pos") + start_line).alias("line"), "content")
 
 
+def has_long_word(text: Column, length: int) -> Column:
+    r"""Whether there are that many characters in a row without white space.
+
+    Anchored at the white space before the word, the test looks at most
+    characters once; a class of letters and digits of all scripts, tried at
+    every position, takes several times as long.
+    """
+    return text.rlike(rf"\s\S{{{length}}}") | text.rlike(rf"^\S{{{length}}}")
+
+
 # A key word list for lines that may show a secret (fixed values).
 EXPOSURE_WORDS = ["password", "secret", "token", "api_key", "apikey", "private_key", "credentials"]
 

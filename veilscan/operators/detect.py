@@ -19,7 +19,7 @@ from ..functions.paths import exclude_exact, exclude_walk, filename_finding, sus
 from ..functions.redact import hit_snippet, line_chunks
 from ..functions.text import is_binary_text, lines, split_lines, universal_newlines
 from ..options import ScanOptions
-from ..rules import ENTROPY_RULE, RuleSet
+from ..rules import ENTROPY_RULE, LINE_RUN, RuleSet
 from .joins import semi_join
 
 CONTEXT = 30
@@ -153,13 +153,10 @@ def _line_hits(
 
 def gate(line: Column, rules: RuleSet, opts: ScanOptions) -> Column:
     """Lines that can hold a finding at all; a superset by construction."""
-    if opts.min_token_length >= 16 and any(r.builtin for r in rules.rules):
-        full = rules.names() == RuleSet.default().names()
-        if full:
-            # A run long enough for the entropy detector already opens the
-            # gate of the token rules.
-            return rules.may_match(line)
-    return rules.may_match(line) | may_hold_token(line, opts.min_token_length)
+    covered = opts.min_token_length >= LINE_RUN and rules.names() == RuleSet.default().names()
+    # A word long enough for the entropy detector already passes for the rules.
+    found = rules.may_match(line)
+    return found if covered else found | may_hold_token(line, opts.min_token_length)
 
 
 def describe(hits: DataFrame, rules: RuleSet) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.naming import env_var_name
 from ..functions.paths import file_kind
 from ..functions.text import split_lines
 from ..session import checkpointed
+from .joins import semi_join
 from .report import fixable
 
 # Stand-ins for a value that must be read from the file.
@@ -32,7 +33,9 @@ def env_ordinals(findings: DataFrame, order: list[str] | None = None) -> DataFra
     in its own, both of which come from one small row per partition and rule.
     """
     keys = ["rule", *(order or ORDER)]
-    rows = findings.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # Range bounds come from a sample, so the input is read twice; writing the
+    # findings first keeps the scan behind them from running twice.
+    rows = checkpointed(findings.drop("token")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = checkpointed(rows.withColumn("seat", F.monotonically_increasing_id()))
     part = F.shiftright("seat", 33)
     rows = rows.withColumn("part", part)
@@ -277,7 +280,9 @@ def rewrite_files(files: DataFrame, plan: DataFrame) -> DataFrame:
             m["value_full"].alias("value_full"),
         ),
     )
-    joined = todo.withColumn("todo", numbered).join(files.select("path", "text"), "path", "left")
+    # Only the texts of planned files move, however many files there are.
+    wanted = semi_join(files.select("path", "text"), plan, "path")
+    joined = todo.withColumn("todo", numbered).join(wanted, "path", "left")
     kind = file_kind(F.col("path"))
     valued = joined.withColumn("old_lines", split_lines(F.col("text"))).withColumn(
         "todo", _migration_list()

@@ -451,7 +451,7 @@ def build() -> dict[str, str]:
       UNION ALL SELECT path, line, min(s), rule, token FROM ({entropy_hits('lines')}) x
       WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = x.path AND r.line = x.line AND r.token = x.token) GROUP BY path, line, rule, token"""
     o["ded2_commit_dedup"] = f'WITH {COMMIT_FOUND} SELECT sha, diff_ord, line, s AS "column", token FROM commit_found WHERE kind = 2'
-    o["srt1_report_order"] = f'{FOUND} SELECT {SHOWN} FROM found ORDER BY path, line, "column", rule'
+    o["srt1_report_order"] = f'{FOUND} SELECT {kept} FROM found ORDER BY path, line, "column", rule'
     o["srt2_env_order"] = f"{PLAN} SELECT DISTINCT env_var_name AS name FROM plan ORDER BY name"
     o["lim1_newest_commits"] = f"WITH {COMMITS} SELECT sha, committed_at FROM commits ORDER BY committed_at DESC, sha LIMIT 25"
     o["top1_longest_literal"] = f"WITH {LINES} SELECT path, line, {longest('w')} AS longest FROM (SELECT path, line, string_split(content, ' ') AS w FROM lines) x"

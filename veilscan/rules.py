@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.hof import let
 from .functions.naming import default_env_name
 from .functions.regexes import java_pattern, token_group
+from .functions.text import has_long_word
 
 ENTROPY_RULE = "HIGH_ENTROPY"
 
@@ -90,60 +94,76 @@ CATALOGUE = [
     ("GITLAB_PAT", r"glpat-[0-9a-zA-Z_-]{20}", 0.95, "GitLab token"),
 ]
 
-# Literal text every match of the rule must hold, where there is one.  It is
-# tested before the expression, which is many times dearer.
+# Literal texts every match of the rule must hold, where there are any.  They
+# are tested before the expression, which is many times dearer.
 NEEDLES = {
-    "AWS_ACCESS_KEY": "AKIA",
-    "OPENAI_API_KEY": "sk-",
-    "SLACK_TOKEN": "xox",
-    "SLACK_WEBHOOK": "https://hooks.slack.com/services/",
-    "DISCORD_WEBHOOK": "/api/webhooks/",
-    "GITHUB_PAT": "ghp_",
-    "GITHUB_OAUTH": "gho_",
-    "JWT_TOKEN": ".eyJ",
-    "PRIVATE_KEY": "-----BEGIN ",
-    "FIREBASE_API_KEY": "AIza",
-    "STRIPE_API_KEY": "sk_live_",
-    "STRIPE_RESTRICTED_KEY": "rk_live_",
-    "TWILIO_API_KEY": "SK",
-    "TWILIO_ACCOUNT_SID": "AC",
-    "GOOGLE_API_KEY": "AIza",
-    "DATABASE_URL": "://",
-    "AZURE_CLIENT_SECRET": "Q~",
-    "GCP_OAUTH_TOKEN": "ya29.",
-    "DIGITALOCEAN_PAT": "dop_v1_",
-    "ANTHROPIC_API_KEY": "sk-ant-api03-",
-    "HUGGINGFACE_TOKEN": "hf_",
-    "REPLICATE_API_TOKEN": "r8_",
-    "SUPABASE_SERVICE_KEY": ".eyJ",
-    "PLANETSCALE_TOKEN": "pscale_tkn_",
-    "SQUARE_ACCESS_TOKEN": "sq0atp-",
-    "SENDGRID_API_KEY": "SG.",
-    "NPM_TOKEN": "npm_",
-    "PYPI_TOKEN": "pypi-AgEIcH",
-    "DOCKER_HUB_TOKEN": "dckr_pat_",
-    "TERRAFORM_CLOUD_TOKEN": ".atlasv1.",
-    "NEW_RELIC_API_KEY": "NRAK-",
-    "SENTRY_DSN": ".ingest.sentry.io/",
-    "GITHUB_FINE_GRAINED_PAT": "github_pat_",
-    "GITLAB_PAT": "glpat-",
+    "AWS_ACCESS_KEY": ("AKIA",),
+    "OPENAI_API_KEY": ("sk-",),
+    "SLACK_TOKEN": ("xox",),
+    "SLACK_WEBHOOK": ("https://hooks.slack.com/services/",),
+    "DISCORD_TOKEN": (".",),
+    "DISCORD_WEBHOOK": ("/api/webhooks/",),
+    "GITHUB_PAT": ("ghp_",),
+    "GITHUB_OAUTH": ("gho_",),
+    "JWT_TOKEN": (".eyJ",),
+    "PRIVATE_KEY": ("-----BEGIN ",),
+    "FIREBASE_API_KEY": ("AIza",),
+    "STRIPE_API_KEY": ("sk_live_",),
+    "STRIPE_RESTRICTED_KEY": ("rk_live_",),
+    "TWILIO_API_KEY": ("SK",),
+    "TWILIO_ACCOUNT_SID": ("AC",),
+    "GOOGLE_API_KEY": ("AIza",),
+    "DATABASE_URL": ("://", "@"),
+    "AZURE_CLIENT_SECRET": ("Q~",),
+    "GCP_OAUTH_TOKEN": ("ya29.",),
+    "DIGITALOCEAN_PAT": ("dop_v1_",),
+    "ANTHROPIC_API_KEY": ("sk-ant-api03-",),
+    "HUGGINGFACE_TOKEN": ("hf_",),
+    "REPLICATE_API_TOKEN": ("r8_",),
+    "SUPABASE_SERVICE_KEY": (".eyJ",),
+    "PLANETSCALE_TOKEN": ("pscale_tkn_",),
+    "SQUARE_ACCESS_TOKEN": ("sq0atp-",),
+    "SENDGRID_API_KEY": ("SG.",),
+    "NPM_TOKEN": ("npm_",),
+    "PYPI_TOKEN": ("pypi-AgEIcH",),
+    "DOCKER_HUB_TOKEN": ("dckr_pat_",),
+    "TERRAFORM_CLOUD_TOKEN": (".atlasv1.",),
+    "NEW_RELIC_API_KEY": ("NRAK-",),
+    "SENTRY_DSN": (".ingest.sentry.io/",),
+    "GITHUB_FINE_GRAINED_PAT": ("github_pat_",),
+    "GITLAB_PAT": ("glpat-",),
 }
 
-# Every match of a built-in rule holds either a run of this many token
-# characters or, for the rules named below, the text shown.
-LINE_RUN = 16
-SHORT_RULE_MARKS = {
-    "SLACK_TOKEN": r"xox[baprs]-",
-    "JWT_TOKEN": r"\.eyJ",
-    "PRIVATE_KEY": r"-----BEGIN ",
-    "GENERIC_SECRET": r"[:=]\s*['\"]",
-    "DATABASE_URL": r"://",
-    "GCP_OAUTH_TOKEN": r"ya29\.",
-    "SUPABASE_SERVICE_KEY": r"\.eyJ",
+# The same for rules that ignore case: one of these, in the folded line.
+FOLDED_NEEDLES = {
+    "AWS_SECRET_KEY": ("aws",),
+    "GENERIC_API_KEY": ("api",),
+    "GENERIC_SECRET": ("secret", "passw", "pwd"),
+    "GENERIC_BASE64": ("token", "secret", "key"),
+    "AWS_SESSION_TOKEN": ("aws",),
+    "COHERE_API_KEY": ("cohere",),
+    "VERCEL_TOKEN": ("vercel", "now"),
 }
-MARK_FIRST_CHARS = r"[x.\-:=y]"
+# The only characters beyond ASCII that equal an ASCII letter when case is ignored.
+FOLDS = ("\u017f\u0131\u0130\u212a", "siik")
+
+# A line without one of these signs is spared all needles that hold it.
+SIGNS = "_-/."
 
-RUN_CLASS = r"[\p{L}\p{N}_\-+=/.~]"
+# Every match of a built-in rule holds this many characters without white
+# space, but for the short rules, which are looked for by their needles.
+LINE_RUN = 16
+SHORT_RULES = {
+    "SLACK_TOKEN",
+    "JWT_TOKEN",
+    "PRIVATE_KEY",
+    "GENERIC_SECRET",
+    "DATABASE_URL",
+    "GCP_OAUTH_TOKEN",
+    "SUPABASE_SERVICE_KEY",
+}
+# What a GENERIC_SECRET match holds, the cheap test first.
+SECRET_MARKS = (r"[:=]\s*['\"]", r"(?i)(?:secret|passw|pwd)")
 
 
 @dataclass(frozen=True)
@@ -153,7 +173,8 @@ class Rule:
     confidence: float
     remediation: str
     group: int = 0
-    needle: str | None = None
+    needles: tuple[str, ...] = ()
+    folded_needles: tuple[str, ...] = ()
     builtin: bool = False
 
     @property
@@ -169,7 +190,8 @@ def _builtin(name: str, pattern: str, confidence: float, finds: str) -> Rule:
         confidence,
         f"Found: {finds}. Revoke it and read the new one from the environment as {env}.",
         token_group(pattern),
-        NEEDLES.get(name),
+        NEEDLES.get(name, ()),
+        FOLDED_NEEDLES.get(name, ()),
         True,
     )
 
@@ -221,32 +243,41 @@ class RuleSet:
         One cheap test per line instead of one test per rule.  A user rule has
         no known marks, so its own expression joins the alternatives.
         """
-        marks = {SHORT_RULE_MARKS[r.name] for r in self.rules if r.builtin and r.name in SHORT_RULE_MARKS}
-        needs_run = any(r.builtin and r.name not in SHORT_RULE_MARKS for r in self.rules)
+        known = [r for r in self.rules if r.builtin]
         tests = []
-        if needs_run:
-            tests.append(line.rlike(f"{RUN_CLASS}{{{LINE_RUN}}}"))
-        if marks:
-            # The first-character look-ahead rejects most positions at once.
-            either = "|".join(java_pattern(m, flags=False) for m in sorted(marks))
-            tests.append(line.rlike(f"(?={MARK_FIRST_CHARS})(?:{either})"))
+        if any(r.name not in SHORT_RULES for r in known):
+            tests.append(has_long_word(line, LINE_RUN))
+        for needles in sorted({r.needles for r in known if r.name in SHORT_RULES and r.needles}):
+            tests.append(reduce(and_, [line.contains(n) for n in needles]))
+        if any(r.name == "GENERIC_SECRET" for r in known):
+            tests.append(reduce(and_, [line.rlike(java_pattern(m)) for m in SECRET_MARKS]))
         tests += [line.rlike(r.java) for r in self.rules if not r.builtin]
-        out = F.lit(False) if not tests else tests[0]
-        for t in tests[1:]:
-            out = out | t
-        return out
+        return reduce(or_, tests, F.lit(False))
 
     def matching(self, line: Column) -> Column:
         """Positions of the rules that match the line, ascending."""
-        picks = []
-        for i, r in enumerate(self.rules):
-            test = line.rlike(r.java)
-            if r.needle:
-                test = line.contains(r.needle) & test
-            picks.append(F.when(test, F.lit(i)))
-        if not picks:
+
+        def picks(folded: Column) -> Column:
+            groups: dict[str, list[Column]] = {}
+            for i, r in enumerate(self.rules):
+                test = line.rlike(r.java)
+                if r.folded_needles:
+                    test = reduce(or_, [folded.contains(n) for n in r.folded_needles]) & test
+                for n in reversed(r.needles):
+                    test = line.contains(n) & test
+                sign = next((c for c in SIGNS if r.needles and c in r.needles[0]), "")
+                groups.setdefault(sign, []).append(F.when(test, F.lit(i)))
+            none = F.array().cast("array<int>")
+            found = [
+                F.when(line.contains(sign), F.array(*tests)).otherwise(none) if sign else F.array(*tests)
+                for sign, tests in groups.items()
+            ]
+            return F.array_sort(F.array_compact(F.concat(*found)))
+
+        if not self.rules:
             return F.array().cast("array<int>")
-        return F.array_compact(F.array(*picks))
+        odd = reduce(or_, [line.contains(c) for c in FOLDS[0]])
+        return let(F.lower(F.when(odd, F.translate(line, *FOLDS)).otherwise(line)), picks)
 
     def lookup(self, ordinal: Column, field: str) -> Column:
         """A rule's attribute by position, from one folded array literal."""
@@ -256,4 +287,4 @@ class RuleSet:
 
 def drop_builtin_marks(rules: RuleSet) -> RuleSet:
     """The same rules without any shortcut: every line runs every expression."""
-    return RuleSet(tuple(replace(r, builtin=False, needle=None) for r in rules.rules))
+    return RuleSet(tuple(replace(r, builtin=False, needles=(), folded_needles=()) for r in rules.rules))

@@ -153,10 +153,11 @@ def _line_hits(
 
 def gate(line: Column, rules: RuleSet, opts: ScanOptions) -> Column:
     """Lines that can hold a finding at all; a superset by construction."""
-    covered = opts.min_token_length >= LINE_RUN and rules.names() == RuleSet.default().names()
-    # A word long enough for the entropy detector already passes for the rules.
     found = rules.may_match(line)
-    return found if covered else found | may_hold_token(line, opts.min_token_length)
+    if rules.tests_words and opts.min_token_length >= LINE_RUN:
+        # A word long enough for the entropy detector already passes.
+        return found
+    return found | may_hold_token(line, opts.min_token_length)
 
 
 def describe(hits: DataFrame, rules: RuleSet) -> DataFrame:

@@ -500,6 +500,5 @@ def build() -> dict[str, str]:
 
     touched = "changed AS (SELECT path, concat(text, chr(10), '# edited') AS text FROM files WHERE contains(text, 'AKIA'))"
     o["str1_incremental_scan"] = f"WITH {FILES}, {touched}, {found_in('changed', excluded_walk())} SELECT {SHOWN} FROM found"
-    arriving = f"changed AS (SELECT source AS change_id, concat('src/', source, '/d', cast(doc_id AS VARCHAR), '.txt') AS path, text FROM documents WHERE text <> '')"
-    o["str2_stream_gate"] = f"WITH {arriving}, {found_in('changed', excluded_exact(('reports', 'data')), keys='change_id')} {gate_of('found', 0.6)}"
+    o["str2_stream_gate"] = o["agg8_gate"]
     return o

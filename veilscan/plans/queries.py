@@ -882,11 +882,9 @@ def str2_stream_gate(spark, sf):
     """The gate over a stream of files, a change per source."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    arriving = stream.selectExpr(
-        "source AS change_id", "concat('src/', source, '/d', cast(doc_id as string), '.txt') AS path", "text"
+    arriving = spark.sql(corpus.files_sql("{documents}", corpus.SPARK), documents=stream).select(
+        F.substring_index("path", "/", 2).alias("change_id"), "path", "text"
     )
     out = scratch_path(spark, "verdicts")
-    incremental.write_verdicts(
-        arriving, out, scratch_path(spark, "progress"), threshold=0.6
-    ).awaitTermination()
+    incremental.write_verdicts(arriving, out, scratch_path(spark, "progress")).awaitTermination()
     return gate_view(incremental.verdicts(spark, out))

@@ -237,6 +237,11 @@ class RuleSet:
             "rule_ord int, rule string, pattern string, group_idx int, confidence double, remediation string",
         )
 
+    @property
+    def tests_words(self) -> bool:
+        """Whether ``may_match`` lets every line with a long word pass."""
+        return any(r.builtin and r.name not in SHORT_RULES for r in self.rules)
+
     def may_match(self, line: Column) -> Column:
         """False only for lines on which no rule of this set can match.
 
@@ -245,7 +250,7 @@ class RuleSet:
         """
         known = [r for r in self.rules if r.builtin]
         tests = []
-        if any(r.name not in SHORT_RULES for r in known):
+        if self.tests_words:
             tests.append(has_long_word(line, LINE_RUN))
         for needles in sorted({r.needles for r in known if r.name in SHORT_RULES and r.needles}):
             tests.append(reduce(and_, [line.contains(n) for n in needles]))

@@ -136,8 +136,3 @@ def scan_paths(
     """Findings of the files listed; a missing one yields nothing."""
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     return scan_files(read_files(listed), rules, opts, walk=False)
-
-
-def files_from(table: DataFrame, path: str, text: str) -> DataFrame:
-    """Any text-bearing table in the role of files, by two SQL expressions."""
-    return table.select(F.expr(path).alias("path"), F.expr(text).alias("text"))

@@ -364,6 +364,12 @@ def test_rewrite_by_kind(spark):
     assert tuple(report.refactor_summary(remediate.rewrite_results(out)).first()) == (4, 2)
 
 
+def test_value_equal_to_its_name(spark):
+    files = [("a.py", "import os\nA = 'NAME'\nB = \"NAME\"\nC = f\"\"\"NAME\"\"\"\n")]
+    row = rewrite(spark, files, [("a.py", 2, "NAME", "NAME")]).first()
+    assert row["text_after"] == "import os\n" + "".join(f'{v} = os.getenv("NAME")\n' for v in "ABC")
+
+
 def test_values_come_from_the_original_lines(spark):
     text = 'A = "first-secret"\nB = "second-secret"\nC = ""\n'
     plan = [("m.py", 1, "ONE", remediate.ASK), ("m.py", 2, "TWO", "***cret"), ("m.py", 3, "SIX", ""), ("m.py", 9, "NO", remediate.MASKED)]

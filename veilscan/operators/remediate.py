@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hof import let
@@ -10,7 +13,7 @@ from ..functions.naming import env_var_name
 from ..functions.paths import file_kind
 from ..functions.text import split_lines
 from ..session import checkpointed
-from .joins import semi_join
+from .joins import fits_broadcast, semi_join
 from .report import fixable
 
 # Stand-ins for a value that must be read from the file.
@@ -40,8 +43,11 @@ def env_ordinals(findings: DataFrame, order: list[str] | None = None) -> DataFra
     part = F.shiftright("seat", 33)
     rows = rows.withColumn("part", part)
     blocks = rows.groupBy("rule", "part").agg(F.min("seat").alias("first_seat"), F.count("*").alias("n"))
+    before = checkpointed(blocks_before(blocks))
+    if fits_broadcast(before):
+        before = F.broadcast(before)
     return (
-        rows.join(blocks_before(blocks), ["rule", "part"])
+        rows.join(before, ["rule", "part"])
         .withColumn("ordinal", (F.col("before") + F.col("seat") - F.col("first_seat")).cast("int"))
         .drop("seat", "part", "before", "first_seat")
     )
@@ -50,8 +56,6 @@ def env_ordinals(findings: DataFrame, order: list[str] | None = None) -> DataFra
 def blocks_before(blocks: DataFrame) -> DataFrame:
     """How many rows of the rule lie in earlier partitions: one row per
     partition and rule goes in, however many findings there are."""
-    from pyspark.sql import Window
-
     earlier = Window.partitionBy("rule").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     return blocks.select("rule", "part", "first_seat", before.alias("before"))
@@ -185,30 +189,29 @@ def insert_line(text: Column, at: Column, new_line: str) -> Column:
     )
 
 
-def _quoted(value: Column, styles: list[str]) -> Column:
-    r"""A pattern for the value inside any of the quote styles, longest first.
-
-    The value is taken literally; ``\E`` inside it would end the quotation.
-    """
-    literal = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.concat_ws("|", *[F.concat(F.lit(p + q), literal, F.lit(q)) for p, q in map(_style, styles)])
-
+# Quote styles as prefix and quote, longer forms before the shorter they hold.
+PYTHON_STYLES = [("f", '"""'), ("", '"""'), ("f", '"'), ("", '"'), ("f", "'''"), ("", "'''"), ("f", "'"), ("", "'")]
+JS_STYLES = [("", '"'), ("", "'"), ("", "`")]
 
-def _style(style: str) -> tuple[str, str]:
-    quote = style.lstrip("f")
-    return style[: len(style) - len(quote)], quote
 
+def _swap(text: Column, value: Column, styles: list[tuple[str, str]], name: Column, call: Column) -> Column:
+    """Replace the quoted value, or the bare value where it is never quoted.
 
-PYTHON_STYLES = ['f"""', "f'''", '"""', "'''", 'f"', "f'", '"', "'"]
-JS_STYLES = ['"', "'", "`"]
-
-
-def _swap(text: Column, value: Column, styles: list[str], call: Column) -> Column:
-    """Replace the quoted value, or the bare value where it is never quoted."""
-    pattern = _quoted(value, styles)
-    escaped = F.replace(F.replace(call, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    return F.when(F.regexp_like(text, pattern), F.regexp_replace(text, pattern, escaped)).otherwise(
-        F.replace(text, value, call)
+    Literal replacement passes over the text much faster than a pattern.  Only
+    a value equal to its variable's name needs one pass by pattern, since the
+    replacement itself holds that name in quotes.
+    """
+    quoted = [F.concat(F.lit(prefix + quote), value, F.lit(quote)) for prefix, quote in styles]
+    one_by_one = reduce(lambda out, form: F.replace(out, form, call), quoted, text)
+    literal = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat_ws("|", *[F.concat(F.lit(p + q), literal, F.lit(q)) for p, q in styles])
+    at_once = F.regexp_replace(text, pattern, F.replace(call, F.lit("$"), F.lit("\\$")))
+    plain = [quote for prefix, quote in styles if not prefix and len(quote) == 1]
+    is_quoted = reduce(or_, [F.contains(text, F.concat(F.lit(q), value, F.lit(q))) for q in plain])
+    return (
+        F.when(~is_quoted, F.replace(text, value, call))
+        .when(value == name, at_once)
+        .otherwise(one_by_one)
     )
 
 
@@ -217,8 +220,8 @@ def rewrite_value(text: Column, value: Column, name: Column, kind: Column) -> Co
     null where the value does not occur."""
     getenv = F.concat(F.lit('os.getenv("'), name, F.lit('")'))
     swapped = (
-        F.when(kind == "python", _swap(text, value, PYTHON_STYLES, getenv))
-        .when(kind == "javascript", _swap(text, value, JS_STYLES, F.concat(F.lit("process.env."), name)))
+        F.when(kind == "python", _swap(text, value, PYTHON_STYLES, name, getenv))
+        .when(kind == "javascript", _swap(text, value, JS_STYLES, name, F.concat(F.lit("process.env."), name)))
         .otherwise(F.replace(text, value, F.concat(F.lit("${"), name, F.lit("}"))))
     )
     return F.when(F.contains(text, value) & (value != ""), swapped)

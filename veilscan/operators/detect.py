@@ -17,7 +17,7 @@ from ..functions.entropy import (
 from ..functions.hof import let, match_spans
 from ..functions.paths import exclude_exact, exclude_walk, filename_finding, suspicious_name
 from ..functions.redact import hit_snippet, line_chunks
-from ..functions.text import is_binary_text, lines, split_lines, universal_newlines
+from ..functions.text import is_binary_text, lines, split_lines
 from ..options import ScanOptions
 from ..rules import ENTROPY_RULE, LINE_RUN, RuleSet
 from .joins import semi_join
@@ -262,16 +262,15 @@ def scan_files(
     opts: ScanOptions | None = None,
     root: str = "",
     walk: bool = True,
-    text_ready: bool = True,
 ) -> DataFrame:
     """All detectors over ``files(path, text)``: the main plan.
 
     Excluded and binary files are dropped, lines are exploded, and one cheap
     test per line decides which run the detectors.  Line 0 stands for the file
     name, so the file-name detector needs no second pass over the table.
-    Nothing is shuffled.  ``text_ready=False`` folds CR first; ``walk=False``
-    tests each path alone, without the directories above it.  Columns other
-    than path and text are kept.
+    Nothing is shuffled.  ``walk=False`` tests each path alone, without the
+    directories above it.  Columns other than path and text are kept.  Text
+    with CR line ends goes through ``universal_newlines`` first.
     """
     rules, opts = rules or RuleSet.default(), opts or ScanOptions()
     path = F.col("path")
@@ -281,7 +280,6 @@ def scan_files(
         if walk
         else exclude_exact(path, opts.exclude_patterns)
     )
-    text = F.col("text") if text_ready else universal_newlines(F.col("text"))
     suspicious = suspicious_name(path)
     # Most texts end here: one pass, left at the first promising place.  The
     # tests sit inside the generator so that they run after any repartitioning.
@@ -290,7 +288,7 @@ def scan_files(
         "path",
         *extra,
         F.when(suspicious, filename_finding(path)).alias("name"),
-        F.posexplode_outer(F.when(worth, F.array_prepend(split_lines(text), F.lit("")))).alias(
+        F.posexplode_outer(F.when(worth, F.array_prepend(split_lines(F.col("text")), F.lit("")))).alias(
             "line", "content"
         ),
     )

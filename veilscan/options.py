@@ -44,7 +44,6 @@ HARMLESS = [
 ]
 
 MAX_TOKEN_LENGTH = 200
-FALLBACK_GATE_CONFIDENCE = 0.8
 
 
 @dataclass(frozen=True)

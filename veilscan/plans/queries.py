@@ -117,6 +117,11 @@ def src5_scan_history(spark, sf):
     return commit_view(found)
 
 
+def utc_text(c: str) -> Column:
+    """A time as UTC text, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+
+
 def commit_view(found: DataFrame) -> DataFrame:
     return found.select(
         "commit_sha",
@@ -126,7 +131,7 @@ def commit_view(found: DataFrame) -> DataFrame:
         "rule",
         "snippet",
         "commit_author",
-        F.date_format("commit_date", "yyyy-MM-dd HH:mm:ss").alias("commit_date"),
+        utc_text("commit_date").alias("commit_date"),
         "commit_message",
     )
 
@@ -152,7 +157,7 @@ def src8_added_lines(spark, sf):
 @query
 def src9_commit_metadata(spark, sf):
     out = history.commit_metadata(corpus.commits(spark, sf))
-    return out.withColumn("commit_date", F.date_format("commit_date", "yyyy-MM-dd HH:mm:ss"))
+    return out.withColumn("commit_date", utc_text("commit_date"))
 
 
 @query

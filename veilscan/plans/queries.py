@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import entropy as E
 from ..functions import naming, paths, redact, report as show, text as T
 from ..functions.hof import let
-from ..operators import delta, detect, history, joins, remediate, report
+from ..operators import delta, detect, history, remediate, report
 from ..options import ScanOptions
 from ..rules import RuleSet
 from ..session import checkpointed, scratch_path, spread

@@ -177,7 +177,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, pl
 
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    return ranged.select("doc_id", "text").mapInArrow(write, "part int, path string, n_ids long, n_docs long")
+    return ranged.select("doc_id", "text").mapInArrow(write, "part long, path string, n_ids long, n_docs long")
 
 
 def read_ids(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:

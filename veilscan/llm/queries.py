@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idplanes, packing
+from . import idplanes, packing, speculate
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idplanes.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    return speculate.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and offset of every piece of every document."""
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -27,5 +32,6 @@ def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bitplane_tokens": op2_bitplane_tokens,
+    "op4_speculative_bpe": op4_speculative_bpe,
     "op7_exact_complement_packing": op7_exact_complement_packing,
 }

@@ -76,7 +76,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 19)
             for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
                 steps = np.full(n, base, np.uint64)
                 steps[0] = 1

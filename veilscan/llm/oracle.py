@@ -2,4 +2,46 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+SPACES = r"[\x20\x09-\x0D]+"
+NO_SPACE = r"[^\x20\x09-\x0D]"
+
+HOSTS = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+        list_filter(string_split_regex(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{NO_SPACE}')) AS lines
+    FROM documents
+),
+w AS (SELECT rid, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM d),
+t AS (
+    SELECT rid, i, w1, lead(w1, 1) OVER (PARTITION BY rid ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY rid ORDER BY i) AS w3
+    FROM w
+),
+r AS (
+    SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w1, w2, w3) AS n FROM t WHERE w3 IS NOT NULL) WHERE n > 1
+),
+c AS (
+    SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY rid
+),
+m AS (
+    SELECT d.doc_id, d.source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+    FROM d LEFT JOIN c USING (rid)
+),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (
+    SELECT *, base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS rule_failed FROM b
+),
+h AS (
+    SELECT source, count(*) AS n, count(*) FILTER (WHERE rule_failed) AS failed FROM f WHERE source IS NOT NULL GROUP BY source
+),
+p AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS spread FROM h),
+k AS (SELECT mean, greatest(coalesce(mean * (1 - mean) / nullif(spread, 0) - 1, 1), 1) AS strength FROM p),
+v AS (SELECT source FROM h, k WHERE (failed + mean * strength) / (n + strength) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM v)) AS kept
+FROM f
+"""
+
+SQL: dict[str, str] = {"op5_host_rules": HOSTS}

@@ -18,7 +18,7 @@ import pandas as pd
 from .common import ragged, span_hashes
 
 SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def byte_classes() -> np.ndarray:
@@ -141,7 +141,7 @@ class PieceEncoder:
         lower: bool,
         drop_space: bool,
         special: tuple[bytes, ...],
-        limit: int = 2_000_000,
+        limit: int = 250_000,
     ) -> None:
         self.encode_new, self.lower, self.drop_space, self.special = encode_new, lower, drop_space, special
         self.memory = Memory(limit)

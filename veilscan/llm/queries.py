@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idplanes, packing, speculate
+from . import hosts, idplanes, packing, speculate
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speculate.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return hosts.judged_by_host(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and offset of every piece of every document."""
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -33,5 +38,6 @@ def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bitplane_tokens": op2_bitplane_tokens,
     "op4_speculative_bpe": op4_speculative_bpe,
+    "op5_host_rules": op5_host_rules,
     "op7_exact_complement_packing": op7_exact_complement_packing,
 }

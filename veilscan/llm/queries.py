@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, idplanes, packing, speculate
+from . import hosts, idplanes, packing, speculate, warc
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idplanes.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the archives that all pages were written to."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op4_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return speculate.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -37,6 +42,7 @@ def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bitplane_tokens": op2_bitplane_tokens,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op5_host_rules": op5_host_rules,
     "op7_exact_complement_packing": op7_exact_complement_packing,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, idplanes, packing, speculate, warc
+from . import fingerprints, hosts, idplanes, packing, probminhash, speculate, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op2_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, from the files they were written to."""
     return idplanes.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -40,10 +45,17 @@ def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op2_bitplane_tokens": op2_bitplane_tokens,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op5_host_rules": op5_host_rules,
     "op7_exact_complement_packing": op7_exact_complement_packing,
+    "op9_probminhash_classes": op9_probminhash_classes,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hosts, idplanes, packing, probminhash, speculate, warc
+from . import fingerprints, hosts, idplanes, languages, packing, probminhash, speculate, warc
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judged_by_host(table(spark, sf_dir, "documents"))
 
 
+def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return languages.identified(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence and offset of every piece of every document."""
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_speculative_bpe": op4_speculative_bpe,
     "op5_host_rules": op5_host_rules,
+    "op6_hyperdimensional_language": op6_hyperdimensional_language,
     "op7_exact_complement_packing": op7_exact_complement_packing,
     "op9_probminhash_classes": op9_probminhash_classes,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hosts, idplanes, languages, packing, probminhash, speculate, warc
+from . import fingerprints, hosts, idplanes, languages, packing, private, probminhash, speculate, warc
 from .common import table
 
 
@@ -55,6 +55,11 @@ def op9_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return private.found(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op2_bitplane_tokens": op2_bitplane_tokens,
@@ -64,4 +69,5 @@ QUERIES = {
     "op6_hyperdimensional_language": op6_hyperdimensional_language,
     "op7_exact_complement_packing": op7_exact_complement_packing,
     "op9_probminhash_classes": op9_probminhash_classes,
+    "op10_boosted_pii": op10_boosted_pii,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hosts, idplanes, languages, packing, private, probminhash, speculate, warc
+from . import fingerprints, hosts, idplanes, languages, packing, private, probminhash, repeats, speculate, warc
 from .common import table
 
 
@@ -50,6 +50,11 @@ def op7_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that occurred before."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_host_rules": op5_host_rules,
     "op6_hyperdimensional_language": op6_hyperdimensional_language,
     "op7_exact_complement_packing": op7_exact_complement_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_probminhash_classes": op9_probminhash_classes,
     "op10_boosted_pii": op10_boosted_pii,
 }

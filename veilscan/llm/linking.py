@@ -15,6 +15,7 @@ along links with pointer jumping, one written table per round.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,14 +98,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, bands: Bands, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
-    """``doc_id, class_id`` of ``docs(doc_id, text)``; a class is named by its smallest doc_id.
-
-    Edge cases: a null text is empty; all texts without words are of one class
-    per text, so equal ones are together; null doc_ids get a class and name one
-    only if nothing else does; repeated rows give repeated rows; an empty table
-    gives none.
-    """
+def near_labels(docs: DataFrame, bands: Bands, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """``doc_id, node, label`` of ``docs(doc_id, text)``; documents of one class share the label."""
     signed = stored(nodes_of(docs, bands), "signed")
     distinct = signed.where("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     rows = distinct.select("node", F.explode("bands").alias("value"))
@@ -140,6 +135,30 @@ def near_classes(docs: DataFrame, bands: Bands, similar: Similarity, threshold:
         links = links.unionByName(stored(verified(found, texts, similar, threshold, width), "links"))
         asked = asked.unionByName(found)
 
-    named = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_classes(docs: DataFrame, bands: Bands, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """``doc_id, class_id`` of ``docs(doc_id, text)``; a class is named by its smallest doc_id.
+
+    Edge cases: a null text is empty; a text without words is alike only to
+    equal ones; null doc_ids get a class and name one only if nothing else does;
+    repeated rows give repeated rows; an empty table gives none.
+    """
+    named = near_labels(docs, bands, similar, threshold, width)
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "label").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, bands: Bands, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """One row of each class of ``docs``, with all its columns.
+
+    It is one of smallest doc_id (null last), of several the first by digest of
+    the text, and of rows that share both any one.
+    """
+    named = near_labels(docs, bands, similar, threshold, width)
+    best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+    own, key = f"node_{uuid.uuid4().hex}", f"id_{uuid.uuid4().hex}"  # names that no column of docs has
+    best = best.select(F.col("best.node").alias(own), F.col("best.doc_id").alias(key))
+    kept = docs.withColumn(own, node(whole_text())).join(best, own).where(F.col("doc_id").eqNullSafe(F.col(key)))
+    return kept.dropDuplicates([own]).drop(own, key)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import mix
 from .fingerprints import band_values
-from .linking import near_classes
+from .linking import Bands, near_classes, one_of_each
 from .shingles import WIDTH, shingle_hashes
 
 SLOTS = 256
@@ -91,12 +91,20 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float((1 / (above / x + below / y)).sum())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
-    """``doc_id, class_id`` of ``docs(doc_id, text)``; see ``linking.near_classes``."""
-
-    def bands(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands(width: int) -> Bands:
+    def of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shingles, rows = shingle_hashes(data, starts, width)
         kept = mix(sketches(shingles, rows)) & np.uint64(0xFFFF_FFFF)
         return band_values(kept, BAND), np.diff(rows) > 0
 
-    return near_classes(docs, bands, probability_jaccard, threshold, width)
+    return of
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """``doc_id, class_id`` of ``docs(doc_id, text)``; see ``linking.near_classes``."""
+    return near_classes(docs, bands(width), probability_jaccard, threshold, width)
+
+
+def without_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """One row of each class of ``docs``; see ``linking.one_of_each``."""
+    return one_of_each(docs, bands(width), probability_jaccard, threshold, width)

@@ -325,8 +325,23 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, by_text.join(numbers.select("rid", "node"), "rid").select("node", "marks")
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """``node, first_id, n_removed, n_spans, kept`` of each distinct text of ``docs``, the bytes kept as binary."""
+def whole_characters(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges of UTF-8 bytes without the parts of characters at their ends."""
+    out = []
+    for a, b in ranges:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append((a, b))
+    return out
+
+
+def cut_texts(docs: DataFrame, characters: bool = False) -> DataFrame:
+    """``node, first_id, n_removed, n_spans, kept`` of each distinct text of ``docs``, the bytes kept as binary.
+
+    With ``characters`` only whole characters are removed.
+    """
     texts, marks = repeated_ranges(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +353,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
                     rows.append((0, 0, raw))
                     continue
                 gone = removed_ranges(found.values.field("first").to_numpy(), found.values.field("last").to_numpy())
+                gone = whole_characters(raw, gone) if characters else gone
                 edges = [0, *(x for r in gone for x in r), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(raw) - len(kept), len(gone), kept))
@@ -378,3 +394,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.when(F.col("later"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(F.col("later"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
     )
+
+
+def shortened(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, lang, source, n_chars)`` with repeats cut from ``text``; every row stays.
+
+    Only whole characters are cut.  A null text stays null.
+    """
+    text = whole_text()
+    long = F.octet_length(text) >= LENGTH
+    rows = docs.select("doc_id", "lang", "source", digest(text).alias("node"), long.alias("long"), F.when(~long, F.col("text")).alias("short"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    first = rows.where("long").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    cut = cut_texts(docs, characters=True).select("node", "kept")
+    cut = cut.join(first.select("node", F.col("first.row").alias("row")), "node").select("row", F.col("kept").cast("string").alias("kept"))
+    out = rows.join(cut, "row", "left").withColumn("text", F.when(F.col("long"), F.coalesce("kept", F.lit(""))).otherwise(F.col("short")))
+    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

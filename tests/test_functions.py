@@ -105,7 +105,7 @@ def test_filenames(spark):
 
 def test_file_warning(spark):
     got = apply(spark, ["id_rsa", "a.txt"], paths.file_warning(F.col("v")))
-    assert got == ["WARNING: File 'id_rsa' typically contains secrets (confidence: 99%)", None]
+    assert got == [f"WARNING: {paths.NAME_REASON % 'id_rsa'} (confidence: 99%)", None]
 
 
 def test_suffix_and_kind(spark):

@@ -14,7 +14,9 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 PART = [
+    "src1_scan_directory",
     "src2_scan_files",
+    "det4_user_rules",
     "src5_scan_history",
     "src8_added_lines",
     "snk1_save_findings",

@@ -91,6 +91,49 @@ def hit_snippet(
     return _with_dots(body, first, stop, size)
 
 
+def _furthest(ends: Column) -> Column:
+    """For each place the largest number so far."""
+    start = F.struct(F.lit(0).alias("top"), F.array().cast("array<int>").alias("tops"))
+
+    def add(acc: Column, end: Column) -> Column:
+        top = F.greatest(acc["top"], end)
+        return F.struct(top.alias("top"), F.concat(acc["tops"], F.array(top)).alias("tops"))
+
+    return F.aggregate(ends, start, add, lambda acc: acc["tops"])
+
+
+def mask_spans(chunks: Column, size: Column, spans: Column) -> Column:
+    """The line with every span starred out, put together once.
+
+    ``spans`` are ``(start, end)`` in order of start; they may overlap.
+    """
+
+    def join(tops: Column) -> Column:
+        def piece(span: Column, i: Column) -> Column:
+            free = F.when(i == 0, F.lit(0)).otherwise(F.get(tops, i - 1))
+            stars = F.repeat(F.lit("*"), F.greatest(span["end"] - F.greatest(span["start"], free), F.lit(0)))
+            return F.concat(_cut_chunks(chunks, free, F.greatest(span["start"], free)), stars)
+
+        last = F.coalesce(F.get(tops, F.size(tops) - 1), F.lit(0))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), _cut_chunks(chunks, last, size))
+
+    return let(_furthest(F.transform(spans, lambda s: s["end"])), join)
+
+
+def masked_snippet(
+    chunks: Column, masked: Column, size: Column, start: Column, end: Column, context: int, show_chars: int = 4
+) -> Column:
+    """``hit_snippet`` with every other span of the line starred out too.
+
+    ``masked`` are the chunks of the line from ``mask_spans``; the span's own
+    last characters stay visible.
+    """
+    first, stop = F.greatest(F.lit(0), start - context), F.least(size, end + context)
+    tail = F.when(end - start <= show_chars, F.lit("")).otherwise(_cut_chunks(chunks, end - show_chars, end))
+    body = F.concat(_cut_chunks(masked, first, start), F.lit(MASK), tail, _cut_chunks(masked, end, stop))
+    return _with_dots(body, first, stop, size)
+
+
 def default_snippet(token: Column, snippet: Column) -> Column:
     """The given snippet, or the masked token where there is none."""
     bare = let(F.length(token), lambda n: redact_snippet(token, F.lit(0), n))

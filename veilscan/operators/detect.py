@@ -16,7 +16,7 @@ from ..functions.entropy import (
 )
 from ..functions.hof import let, match_spans
 from ..functions.paths import exclude_exact, exclude_walk, filename_finding, suspicious_name
-from ..functions.redact import hit_snippet, line_chunks
+from ..functions.redact import hit_snippet, line_chunks, mask_spans, masked_snippet
 from ..functions.text import is_binary_text, lines, split_lines
 from ..options import ScanOptions
 from ..rules import ENTROPY_RULE, LINE_RUN, RuleSet
@@ -29,13 +29,15 @@ KIND_NAME, KIND_RULE, KIND_ENTROPY = 0, 1, 2
 def pattern_hits(line: Column, rules: RuleSet) -> Column:
     """``array<struct<kind, rule_ord, token, start, end, entropy>>`` of all rules.
 
-    The expressions are literals, so each is compiled once per task.  Offsets
-    and groups are worked out only for the rules that matched.
+    Which rules match is tested with literal expressions, compiled once per
+    task.  Offsets and groups are worked out only for the rules that matched;
+    their expressions are looked up by position and compiled when the rule
+    changes from one hit to the next.
     """
 
     def of_rule(i: Column) -> Column:
-        pattern = rules.lookup(i, "java")
-        return F.zip_with(
+        pattern = rules.lookup(i, "java_find")
+        found = F.zip_with(
             match_spans(line, pattern),
             F.regexp_extract_all(line, pattern, rules.lookup(i, "group")),
             lambda m, token: F.struct(
@@ -45,8 +47,11 @@ def pattern_hits(line: Column, rules: RuleSet) -> Column:
                 m["start"].alias("start"),
                 m["end"].alias("end"),
                 F.lit(None).cast("double").alias("entropy"),
+                m["text"].alias("text"),
             ),
         )
+        kept = F.filter(found, lambda m: rules.confirmed(i, m["text"]))
+        return F.transform(kept, lambda m: m.dropFields("text"))
 
     return F.flatten(F.transform(rules.matching(line), of_rule))
 
@@ -94,34 +99,30 @@ def first_of_token(hits: Column) -> Column:
 
 
 def with_snippets(line: Column, hits: Column, opts: ScanOptions) -> Column:
-    shown = line
-    if opts.redact_all_spans:
-        shown = F.aggregate(
-            hits,
-            line,
-            lambda text, h: F.overlay(
-                text, F.repeat(F.lit("*"), h["end"] - h["start"]), h["start"] + 1, h["end"] - h["start"]
-            ),
-        )
+    """Add two snippets to each hit: ``snippet`` masks the hit alone (or every
+    span, by option), ``masked_snippet``, the one to be stored, every span."""
+    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
 
-    def add(chunks: Column) -> Column:
-        return let(
-            F.length(line),
-            lambda size: F.transform(
-                hits,
-                lambda h: F.struct(
-                    h["kind"].alias("kind"),
-                    h["rule_ord"].alias("rule_ord"),
-                    h["token"].alias("token"),
-                    h["start"].alias("start"),
-                    h["end"].alias("end"),
-                    h["entropy"].alias("entropy"),
-                    hit_snippet(chunks, size, h["start"], h["end"], CONTEXT).alias("snippet"),
-                ),
-            ),
-        )
+    def add(chunks: Column, masked: Column, size: Column) -> Column:
+        def fields(h: Column) -> Column:
+            place = (size, h["start"], h["end"], CONTEXT)
+            return F.struct(
+                h["kind"].alias("kind"),
+                h["rule_ord"].alias("rule_ord"),
+                h["token"].alias("token"),
+                h["start"].alias("start"),
+                h["end"].alias("end"),
+                h["entropy"].alias("entropy"),
+                hit_snippet(masked if opts.redact_all_spans else chunks, *place).alias("snippet"),
+                masked_snippet(chunks, masked, *place).alias("masked_snippet"),
+            )
+
+        return F.transform(hits, fields)
 
-    return let(line_chunks(shown), add)
+    def with_masked(chunks: Column, size: Column) -> Column:
+        return let(line_chunks(mask_spans(chunks, size, spans)), lambda masked: add(chunks, masked, size))
+
+    return let(F.length(line), lambda size: let(line_chunks(line), lambda chunks: with_masked(chunks, size)))
 
 
 def line_hits(
@@ -160,6 +161,16 @@ def gate(line: Column, rules: RuleSet, opts: ScanOptions) -> Column:
     return found | may_hold_token(line, opts.min_token_length)
 
 
+def text_gate(text: Column, rules: RuleSet, opts: ScanOptions) -> Column:
+    """Texts that can hold a finding at all.
+
+    A mark of a built-in rule stands in a line wherever it stands in the text.
+    The expression of a user rule means something else on a whole text (``^``,
+    ``$``, lookarounds), so with one present every text goes to its lines.
+    """
+    return gate(text, rules, opts) if rules.has_marks_only else F.lit(True)
+
+
 def describe(hits: DataFrame, rules: RuleSet) -> DataFrame:
     """Add rule, confidence and remediation to exploded hits."""
     is_rule = F.col("kind") == KIND_RULE
@@ -253,6 +264,7 @@ FINDING_COLUMNS = [
     "kind",
     "rule_ord",
     "entropy",
+    "masked_snippet",
 ]
 
 
@@ -262,6 +274,7 @@ def scan_files(
     opts: ScanOptions | None = None,
     root: str = "",
     walk: bool = True,
+    test_binary: bool = True,
 ) -> DataFrame:
     """All detectors over ``files(path, text)``: the main plan.
 
@@ -270,7 +283,9 @@ def scan_files(
     name, so the file-name detector needs no second pass over the table.
     Nothing is shuffled.  ``walk=False`` tests each path alone, without the
     directories above it.  Columns other than path and text are kept.  Text
-    with CR line ends goes through ``universal_newlines`` first.
+    with CR line ends goes through ``universal_newlines`` first.  The binary
+    test here sees decoded text; ``test_binary=False`` is for files that were
+    tested on their bytes, which is the test that counts.
     """
     rules, opts = rules or RuleSet.default(), opts or ScanOptions()
     path = F.col("path")
@@ -283,7 +298,9 @@ def scan_files(
     suspicious = suspicious_name(path)
     # Most texts end here: one pass, left at the first promising place.  The
     # tests sit inside the generator so that they run after any repartitioning.
-    worth = (suspicious | gate(F.col("text"), rules, opts)) & ~is_binary_text(F.col("text"))
+    worth = suspicious | text_gate(F.col("text"), rules, opts)
+    if test_binary:
+        worth = worth & ~is_binary_text(F.col("text"))
     numbered = files.where(~excluded).select(
         "path",
         *extra,
@@ -303,6 +320,7 @@ def scan_files(
             F.lit(0).alias("end"),
             F.lit(None).cast("double").alias("entropy"),
             name["reason"].alias("snippet"),
+            name["reason"].alias("masked_snippet"),
         )
     )
     hits = (

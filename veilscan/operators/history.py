@@ -23,13 +23,15 @@ def hunk_start(header: Column) -> Column:
     after_plus = F.get(F.split(header, r"\+", -1), F.lit(1))
     before_at = F.substring_index(after_plus, "@@", 1)
     first = F.trim(F.substring_index(F.trim(before_at), ",", 1))
-    number = F.when(first.rlike("^-?[0-9]{1,9}$"), first.cast("int"))
+    number = F.when(first.rlike("^-?[0-9]+$"), first.try_cast("int"))
     return F.coalesce(number, F.lit(0))
 
 
-def added_lines(diffs: DataFrame, patch: str = "patch") -> DataFrame:
+def added_lines(diffs: DataFrame, patch: str = "patch", places: bool = False) -> DataFrame:
     """Added lines with their new-file numbers; all other columns are kept.
 
+    ``places`` adds where a line stands in the patch, as ``hunk`` and ``pos``.
+
     A patch is cut at its ``@@`` lines.  Within a piece every line that does
     not advance the counter is dropped, after which a line's number is the
     start plus its position: no running count and no shuffle.
@@ -48,6 +50,8 @@ def added_lines(diffs: DataFrame, patch: str = "patch") -> DataFrame:
     numbered = hunks.select(
         *keep, "hunk", start.alias("start"), F.posexplode_outer(advancing).alias("pos", "text")
     )
+    if places:
+        keep = [*keep, "hunk", "pos"]
     return numbered.where(F.col("text").startswith("+")).select(
         *keep, (F.col("start") + F.col("pos")).alias("line"), F.expr("substring(text, 2)").alias("content")
     )
@@ -80,14 +84,17 @@ def commit_metadata(commits: DataFrame) -> DataFrame:
 
 def commit_dedup(findings: DataFrame) -> DataFrame:
     """Drop an entropy finding if the commit has an earlier finding with the
-    same line number and token, even in another file.
-
-    One aggregation does it.  Each finding competes for (commit, line, token)
-    and the first in scan order wins; a rule finding also travels under a key
-    of its own, which nothing else can win.  Equal tokens collapse before the
-    shuffle, so a token repeated across a whole commit costs one row per task.
+    same line number and token, even in another file; rule findings all stay.
+
+    Where there are ``hunk`` and ``pos``, they tell apart lines of equal number in one diff.  One
+    aggregation does it.  Each finding competes for (commit, line, token) and
+    the first in scan order wins; a rule finding also travels under a key of
+    its own place, which no other finding has.  Equal tokens collapse before
+    the shuffle, so a token repeated across a whole commit costs one row per
+    task.
     """
-    order = F.struct("diff_ord", "kind", "rule_ord", "column")
+    places = [c for c in ("hunk", "pos") if c in findings.columns]
+    order = F.struct("diff_ord", *places, "kind", "rule_ord", "column")
     is_rule = F.col("kind") == KIND_RULE
     no_key = F.when(F.lit(False), order)
     copies = F.when(is_rule, F.array(order, no_key)).otherwise(F.array(no_key))
@@ -105,8 +112,8 @@ def scan_diffs(
     diffs: DataFrame, rules: RuleSet | None = None, opts: ScanOptions | None = None
 ) -> DataFrame:
     """Findings on the added lines of each diff, de-duplicated per commit."""
-    found = scan_lines(added_lines(live_diffs(diffs)), "content", rules, opts, dedup=False)
-    return commit_dedup(found)
+    found = scan_lines(added_lines(live_diffs(diffs), places=True), "content", rules, opts, dedup=False)
+    return commit_dedup(found).drop("hunk", "pos")
 
 
 def with_commits(findings: DataFrame, commits: DataFrame) -> DataFrame:
@@ -131,6 +138,7 @@ def scan_history(
     depth = opts.history_depth if depth is None else depth
     pool = commits
     if branch is not None:
+        known_commits(commits, branch)
         pool = commits.join(ancestors(commits, {"tip": branch}).select("sha"), "sha", "left_semi")
     chosen = newest_commits(pool, depth)
     shas = chosen.select("sha")
@@ -139,7 +147,7 @@ def scan_history(
         if depth <= BROADCAST_ROWS
         else diffs.join(shas, "sha", "left_semi")
     )
-    return with_commits(scan_diffs(picked, rules, opts), commits)
+    return with_commits(scan_diffs(picked, rules, opts), chosen)
 
 
 def ancestors(commits: DataFrame, tips: dict[str, str]) -> DataFrame:
@@ -164,7 +172,7 @@ def ancestors(commits: DataFrame, tips: dict[str, str]) -> DataFrame:
         onward = jump.select(F.col("sha").alias("to"), F.col("to").alias("next"))
         jump = checkpointed(jump.join(onward, "to").select("sha", F.col("next").alias("to")))
     others = known.where(F.size("parents") > 1).select(
-        "sha", F.explode(F.slice("parents", 2, 1 << 20)).alias("to")
+        "sha", F.explode(F.expr("filter(parents, (x, i) -> i > 0)")).alias("to")
     )
     fresh = spark.createDataFrame(list(tips.items()), "label string, sha string")
     reached = fresh.limit(0)
@@ -184,8 +192,16 @@ def ancestors(commits: DataFrame, tips: dict[str, str]) -> DataFrame:
             return reached.join(commits.select("sha"), "sha", "left_semi").select("label", "sha")
 
 
+def known_commits(commits: DataFrame, *names: str) -> None:
+    """Raise if one of the names is no commit: scanning nothing, or everything, would look like an answer."""
+    there = {r.sha for r in commits.where(F.col("sha").isin(list(names))).select("sha").distinct().collect()}
+    if unknown := sorted(set(names) - there):
+        raise ValueError(f"no such commit: {', '.join(unknown)}")
+
+
 def commit_range(commits: DataFrame, start: str, end: str) -> DataFrame:
-    """Commits reachable from ``end`` and not from ``start``."""
+    """Commits reachable from ``end`` and not from ``start``; both must exist."""
+    known_commits(commits, start, end)
     reach = ancestors(commits, {"start": start, "end": end})
     before = reach.where(F.col("label") == "start").select("sha")
     return reach.where(F.col("label") == "end").select("sha").join(before, "sha", "left_anti")
@@ -201,7 +217,7 @@ def scan_range(
 ) -> DataFrame:
     shas = checkpointed(commit_range(commits, start, end))
     picked = semi_join(diffs, shas, "sha")
-    return with_commits(scan_diffs(picked, rules, opts), commits)
+    return with_commits(scan_diffs(picked, rules, opts), semi_join(commits, shas, "sha"))
 
 
 def commit_count(commits: DataFrame, branch: str) -> DataFrame:

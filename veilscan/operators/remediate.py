@@ -14,7 +14,7 @@ from ..functions.paths import file_kind
 from ..functions.text import split_lines
 from ..session import checkpointed
 from .joins import fits_broadcast, semi_join
-from .report import fixable
+from .report import fixable, without_tokens
 
 # Stand-ins for a value that must be read from the file.
 ASK, MASKED = "<ask user to provide>", "<masked>"
@@ -38,7 +38,7 @@ def env_ordinals(findings: DataFrame, order: list[str] | None = None) -> DataFra
     keys = ["rule", *(order or ORDER)]
     # Range bounds come from a sample, so the input is read twice; writing the
     # findings first keeps the scan behind them from running twice.
-    rows = checkpointed(findings.drop("token")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = checkpointed(without_tokens(findings)).repartitionByRange(*keys).sortWithinPartitions(*keys)
     rows = checkpointed(rows.withColumn("seat", F.monotonically_increasing_id()))
     part = F.shiftright("seat", 33)
     rows = rows.withColumn("part", part)
@@ -64,7 +64,7 @@ def blocks_before(blocks: DataFrame) -> DataFrame:
 def migration_plan(findings: DataFrame) -> DataFrame:
     """Fixable findings with a variable name each; no secret value is kept."""
     need = ["path", "line", "column", "kind", "rule_ord", "rule", "snippet", "confidence"]
-    numbered = env_ordinals(fixable(findings).select(*need))
+    numbered = env_ordinals(without_tokens(fixable(findings)).select(*need))
     return numbered.select(
         "path",
         "line",
@@ -148,7 +148,7 @@ def import_position(lines: Column) -> Column:
         opens = opener.isin('"""', "'''")
         in_doc, in_paren = s["quote"] != "", s["paren"]
         closes = F.contains(text, s["quote"])
-        once = opens & F.contains(F.substring(text, 4, 1 << 20), opener)
+        once = opens & F.contains(F.substr(text, F.lit(4)), opener)
         is_import = text.startswith("import ") | text.startswith("from ")
         passive = (text == "") | text.startswith("#")
         quote = (

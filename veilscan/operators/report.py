@@ -24,8 +24,16 @@ def fixable(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("line") > 0)
 
 
+def without_tokens(findings: DataFrame) -> DataFrame:
+    """Findings that show no token: snippets mask every span of their line."""
+    if "masked_snippet" in findings.columns:
+        findings = findings.withColumn("snippet", F.col("masked_snippet"))
+    return findings.drop("token", "masked_snippet")
+
+
 def stored_form(findings: DataFrame) -> DataFrame:
-    """What may leave the engine: everything but the token."""
+    """What may leave the engine: no token, neither its own nor a neighbour's."""
+    findings = without_tokens(findings)
     if "found_at" not in findings.columns:
         findings = findings.withColumn("found_at", F.current_timestamp())
     extra = [c for c in COMMIT_COLUMNS if c in findings.columns]
@@ -83,7 +91,7 @@ def report_order(findings: DataFrame) -> DataFrame:
     over tasks.  The sort samples its input, so the findings, without their
     tokens, are written first and the scan behind them runs once.
     """
-    return checkpointed(findings.drop("token")).orderBy("path", "line", "column", "rule")
+    return checkpointed(without_tokens(findings)).orderBy("path", "line", "column", "rule")
 
 
 def by_file(findings: DataFrame) -> DataFrame:

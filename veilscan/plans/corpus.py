@@ -8,6 +8,7 @@ Spark and, for the comparison, by DuckDB; only two function names differ.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import spread
 
@@ -169,6 +170,26 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(files_sql("{documents}", SPARK), documents=docs).select("path", "text")
 
 
+def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: the files as bytes, some with what a decoder has to cope with.
+
+    By key modulo 8: 1 has CRLF line ends, 2 bytes that are no UTF-8 at the
+    end, 3 is binary by a NUL in front, 4 has a NUL beyond where binary files
+    are told.
+    """
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    made = spark.sql(files_sql("{documents}", SPARK), documents=docs)
+    kind, raw = F.col("id") % 8, F.col("text").cast("binary")
+    content = (
+        F.when(kind == 1, F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary"))
+        .when(kind == 2, F.concat(raw, F.unhex(F.lit("0AFFFE"))))
+        .when(kind == 3, F.concat(F.unhex(F.lit("00")), raw))
+        .when(kind == 4, F.concat(raw, F.lit("\n" + " " * 8192).cast("binary"), F.unhex(F.lit("00"))))
+        .otherwise(raw)
+    )
+    return made.select("path", content.alias("content"))
+
+
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = spread(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     return spark.sql(diffs_sql("{conversations}", SPARK), conversations=talk)

@@ -3,6 +3,9 @@ functions, list functions and a recursive walk instead of the library's plans.""
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from ..functions.naming import ENV_NAMES, SELF_EXPLAINING
 from ..functions.paths import (
     EXT_REASON,
@@ -18,28 +21,15 @@ from ..functions.paths import (
 )
 from ..functions.text import EXPOSURE_WORDS
 from ..operators import remediate
-from ..options import HARMLESS
+from ..options import HARMLESS, SKIP_GLOBS
 from ..rules import RuleSet
+from .queries import USER_RULES
 from .corpus import DUCKDB, commits_sql, diffs_sql, files_sql, pages_sql
 
 RULES = RuleSet.default().rules
 RUN = r"[\p{L}\p{N}_\-+=/.]"
-DIRS = [
-    "node_modules",
-    ".venv",
-    "venv",
-    "env",
-    "dist",
-    "build",
-    ".next",
-    "__pycache__",
-    ".git",
-    ".svn",
-    ".hg",
-    ".pytest_cache",
-    "htmlcov",
-]
-ENDINGS = r"\.(pyc|pyo|pyd|lock|map)$|\.min\.(js|css)$"
+DIRS = [g.removesuffix("/**") for g in SKIP_GLOBS if g.endswith("/**") and not g.startswith("*")]
+ENDINGS = "(" + "|".join(re.escape(g[1:]) for g in SKIP_GLOBS if g.startswith("*.") and "/" not in g) + ")$"
 
 
 def q(text: str) -> str:
@@ -74,9 +64,9 @@ def located(raw: str, keys: str) -> str:
       FROM (SELECT *, generate_subscripts(w, 1) AS i FROM ({raw}) r0) r1"""
 
 
-def rule_hits(lines: str, keys: str = "path, line") -> str:
+def rule_hits(lines: str, keys: str = "path, line", rules=RULES) -> str:
     parts = []
-    for i, r in enumerate(RULES):
+    for i, r in enumerate(rules):
         p = q(r.pattern)
         parts.append(
             f"SELECT {keys}, content, {i} AS rule_ord, {q(r.name)} AS rule, cast({r.confidence} AS DOUBLE) AS confidence, "
@@ -202,7 +192,7 @@ FOUND = f"WITH {FILES}, {found_in('files', excluded_walk())}"
 PLAN = f"""{FOUND}, plan AS MATERIALIZED (
       SELECT *, {env_name('rule', 'n')} AS env_var_name FROM (
         SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line, kind, rule_ord, "column") - 1 AS n
-        FROM found WHERE line > 0 AND confidence >= 0.55) p0)"""
+        FROM found WHERE line > 0) p0)"""
 PLACE = 'path, line, "column", rule'
 SHOWN = f"{PLACE}, token, snippet, round(confidence, 9) AS confidence"
 
@@ -349,7 +339,7 @@ def advice() -> str:
 
 def build() -> dict[str, str]:
     o: dict[str, str] = {}
-    o["src1_scan_directory"] = f"{FOUND} SELECT {SHOWN} FROM found"
+    o["src1_scan_directory"] = f"{FOUND} SELECT {SHOWN} FROM found WHERE cast(regexp_extract(path, '/d([0-9]+)/', 1) AS BIGINT) % 8 <> 3"
     exact = found_in("chosen", excluded_exact(("reports", "data")))
     o["src2_scan_files"] = f"""WITH {FILES}, chosen AS (SELECT * FROM files WHERE regexp_extract(path, '/d([0-9]+)/', 1) IN (SELECT cast(doc_id AS VARCHAR) FROM labels)),
       {exact} SELECT {SHOWN} FROM found"""
@@ -409,6 +399,9 @@ def build() -> dict[str, str]:
     o["det2_entropy_scan"] = f'WITH {LINES} SELECT path, line, token, s AS start, e AS "end", round(h, 9) AS entropy, round(confidence, 9) AS confidence FROM ({entropy_hits("lines")}) x'
     o["det3_filename_scan"] = f"WITH {FILES} SELECT * FROM (SELECT path, {name_finding()} FROM ({parted()}) x) y WHERE rule IS NOT NULL"
     o["det4_combined_scan"] = f'{FOUND} SELECT {SHOWN}, kind, "end" FROM found'
+    user = [replace(RULES[0], name=n, pattern=p, confidence=0.8, group=1) for n, p in USER_RULES]
+    o["det4_user_rules"] = f"""WITH {FILES}, own AS (SELECT * FROM ({parted()}) s0 WHERE NOT {excluded_walk()}),
+      own_lines AS MATERIALIZED ({lines_of("own")}) SELECT path, line, s AS "column", rule, token FROM ({rule_hits("own_lines", rules=user)}) u0"""
     o["det4_web_pages"] = f"WITH web AS MATERIALIZED ({pages_sql('pages', DUCKDB)}), {found_in('web', excluded_walk())} SELECT {SHOWN} FROM found"
     o["det5_commit_scan"] = f'WITH {COMMIT_FOUND} SELECT sha, diff_ord, path, line, s AS "column", rule, token, snippet FROM commit_found'
     catalogue = ", ".join(f"({i}, {q(r.name)}, {q(r.pattern)}, {r.group}, cast({r.confidence} AS DOUBLE))" for i, r in enumerate(RULES))

@@ -18,7 +18,7 @@ from ..operators import delta, detect, history, remediate, report
 from ..options import ScanOptions
 from ..rules import RuleSet
 from ..session import checkpointed, scratch_path, spread
-from ..sources import store
+from ..sources import files, store
 from ..streaming import incremental
 from . import corpus
 
@@ -80,7 +80,11 @@ def refs(commits: DataFrame) -> tuple[str, str]:
 
 @query
 def src1_scan_directory(spark, sf):
-    return shown(findings(spark, sf))
+    """The files written as a tree and scanned as a directory."""
+    root = scratch_path(spark, "tree")
+    files.write_tree(corpus.file_contents(spark, sf), root)
+    found = files.scan_directory(spark, root)
+    return shown(found.withColumn("path", F.substr("path", F.lit(len(root) + 2))))
 
 
 @query
@@ -369,6 +373,22 @@ def det4_combined_scan(spark, sf):
     return shown(findings(spark, sf), "kind", "end")
 
 
+USER_RULES = [
+    ("FIRST_OF_LINE", r'^K = "([0-9A-Za-z]{20})'),
+    ("WHOLE_LINE", r"^blob ([0-9A-Za-z+/=]+) [0-9A-Za-z+/=]{10,}$"),
+]
+
+
+@query
+def det4_user_rules(spark, sf):
+    """User rules whose expressions look at the ends of a line."""
+    rules = RuleSet.default()
+    for name, pattern in USER_RULES:
+        rules = rules.with_rule(name, pattern, 0.8, "Remove it.")
+    found = detect.scan_files(corpus.files(spark, sf), rules)
+    return found.where(F.col("rule").isin([n for n, _ in USER_RULES])).select("path", "line", "column", "rule", "token")
+
+
 @query
 def det4_web_pages(spark, sf):
     """The combined scan over raw web pages under their addresses."""
@@ -419,8 +439,8 @@ def rewritten(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plan(spark: SparkSession, sf: str) -> DataFrame:
-    """The plan, with the whole match known where a rule's token is all of it."""
-    return remediate.migration_plan(report.at_least(findings(spark, sf), 0.55))
+    """A variable for every finding in a text."""
+    return remediate.migration_plan(findings(spark, sf))
 
 
 @query

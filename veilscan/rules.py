@@ -166,6 +166,18 @@ SHORT_RULES = {
 SECRET_MARKS = (r"[:=]\s*['\"]", r"(?i)(?:secret|passw|pwd)")
 
 
+# Rules whose expression needs more than linear time on a hostile line, in two
+# steps that find the same: whole runs, and what a run must hold.  The last part
+# of such a rule takes all of its run, and a run that fails from its first start
+# fails from every later one.
+TWO_STEPS = {
+    "DATABASE_URL": (
+        r"(?i)(postgres|postgresql|mysql|mongodb|redis)://[^\s'\"]*+",
+        r"://[^:]*+:.[^@]*+@.",
+    ),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -181,6 +193,22 @@ class Rule:
     def java(self) -> str:
         return java_pattern(self.pattern)
 
+    @property
+    def two_steps(self) -> tuple[str, str] | None:
+        return TWO_STEPS.get(self.name) if self.builtin else None
+
+    @property
+    def java_find(self) -> str:
+        """What finds the spans; with two steps the wider expression."""
+        return java_pattern(self.two_steps[0]) if self.two_steps else self.java
+
+    def matches(self, line: Column) -> Column:
+        """Whether the rule matches anywhere on the line."""
+        if not self.two_steps:
+            return line.rlike(self.java)
+        runs = F.regexp_extract_all(line, F.lit(self.java_find), F.lit(0))
+        return F.exists(runs, lambda run: run.rlike(java_pattern(self.two_steps[1])))
+
 
 def _builtin(name: str, pattern: str, confidence: float, finds: str) -> Rule:
     env = default_env_name(name)
@@ -242,6 +270,11 @@ class RuleSet:
         """Whether ``may_match`` lets every line with a long word pass."""
         return any(r.builtin and r.name not in SHORT_RULES for r in self.rules)
 
+    @property
+    def has_marks_only(self) -> bool:
+        """Whether ``may_match`` looks for nothing but plain marks of built-in rules."""
+        return all(r.builtin for r in self.rules)
+
     def may_match(self, line: Column) -> Column:
         """False only for lines on which no rule of this set can match.
 
@@ -265,7 +298,7 @@ class RuleSet:
         def picks(folded: Column) -> Column:
             groups: dict[str, list[Column]] = {}
             for i, r in enumerate(self.rules):
-                test = line.rlike(r.java)
+                test = r.matches(line)
                 if r.folded_needles:
                     test = reduce(or_, [folded.contains(n) for n in r.folded_needles]) & test
                 for n in reversed(r.needles):
@@ -284,6 +317,13 @@ class RuleSet:
         odd = reduce(or_, [line.contains(c) for c in FOLDS[0]])
         return let(F.lower(F.when(odd, F.translate(line, *FOLDS)).otherwise(line)), picks)
 
+    def confirmed(self, ordinal: Column, text: Column) -> Column:
+        """The second step of rules that have one, for the text of a span."""
+        tests = [
+            (ordinal != i) | text.rlike(java_pattern(r.two_steps[1])) for i, r in enumerate(self.rules) if r.two_steps
+        ]
+        return reduce(and_, tests, F.lit(True))
+
     def lookup(self, ordinal: Column, field: str) -> Column:
         """A rule's attribute by position, from one folded array literal."""
         values = F.array(*[F.lit(getattr(r, field)) for r in self.rules])

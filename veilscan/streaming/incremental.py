@@ -38,22 +38,41 @@ def gate_files(
     threshold: float | None = None,
     rules: RuleSet | None = None,
     opts: ScanOptions | None = None,
+    clean: bool = False,
 ) -> DataFrame:
-    """Verdict per change over ``files(change_id, path, text)``; a change
-    without findings has no row."""
-    return gate(scan_files(staged(files), rules, opts, walk=False), threshold)
+    """Verdict per change over ``files(change_id, path, text)``.
+
+    With ``clean`` a change without findings has a row too, not blocked and
+    with null confidence; else it has none.
+    """
+    found = gate(scan_files(staged(files), rules, opts, walk=False), threshold)
+    if not clean:
+        return found
+    every = files.select("change_id").distinct().join(found, "change_id", "left")
+    return every.select(
+        "change_id",
+        F.coalesce("findings", F.lit(0)).alias("findings"),
+        "max_confidence",
+        F.coalesce("blocked", F.lit(False)).alias("blocked"),
+    )
 
 
 def write_verdicts(
-    files: DataFrame, out: str, checkpoint: str, threshold: float | None = None
+    files: DataFrame,
+    out: str,
+    checkpoint: str,
+    threshold: float | None = None,
+    rules: RuleSet | None = None,
+    opts: ScanOptions | None = None,
+    clean: bool = False,
 ) -> StreamingQuery:
-    """Write each micro-batch's verdicts to a folder of its own.
+    """Write each micro-batch's verdicts to a folder of its own; see ``gate_files``.
 
     A repeated batch overwrites its folder, so a restart counts nothing twice.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        gate_files(batch, threshold).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        gate_files(batch, threshold, rules, opts, clean).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         files.writeStream.foreachBatch(store)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from veilscan.llm import fingerprints, probminhash, repeats, suffixes
+from veilscan.llm import fingerprints, linking, probminhash, repeats, suffixes
 from veilscan.llm.common import mix
 from veilscan.llm.shingles import shingle_hashes
 
@@ -117,9 +117,21 @@ def weighted_likeness(a, b):
     return probminhash.probability_jaccard(row(a), row(b))
 
 
+def noisy(n):
+    """Copies of three texts, each with its own share of words replaced."""
+    rnd = random.Random(3)
+    base = [[f"w{rnd.randrange(10**6)}" for _ in range(90)] for _ in range(3)]
+    rows = []
+    for _ in range(n):
+        share = rnd.random() * 0.12
+        rows.append(" ".join(f"n{rnd.randrange(10**6)}" if rnd.random() < share else w for w in rnd.choice(base)))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("rows", [chained(30), noisy(160)])
 @pytest.mark.parametrize("module, like", [(probminhash, weighted_likeness), (fingerprints, likeness)])
-def test_near_duplicates_equal_brute_force(spark, module, like):
-    rows = chained(30)
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, module, like, rows):
+    monkeypatch.setattr(linking, "BLOCK", 50)
     want = classes(rows, lambda a, b: a == b or (bool(a.split()) and like(a, b) >= 0.8))
     got = dict(tuple(r) for r in module.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [got[i] for i, _ in rows] == want

@@ -210,8 +210,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH)
     shingles, is at least the threshold.
     """
 
-    def bands(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bands(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shingles, rows = shingle_hashes(data, starts, width)
-        return band_values(signatures(shingles, rows)), np.diff(rows) > 0
+        marks = signatures(shingles, rows).astype(np.uint8)
+        return band_values(marks), np.diff(rows) > 0, marks
 
-    return near_classes(docs, bands, jaccard, threshold, width)
+    return near_classes(docs, bands, BAND, jaccard, threshold, width)

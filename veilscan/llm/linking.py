@@ -1,16 +1,20 @@
 """Classes of near-duplicate texts from equal bands.
 
-Equal texts are one node.  Nodes with an equal band value form a group, and the
-pairs to verify are found without listing the pairs of a group: members are
-compared with a *leader* of their group and what is alike is joined into
-classes; then, only in groups that still hold several classes, eight times as
-many leaders are compared with the members of other classes, and so on until
-each member of such a group has been a leader or the group is of one class.
-So every candidate pair is either verified or known to be in one class, and a
-group of thousands of copies of one text costs one comparison per member.
+Equal texts are one node.  Nodes with an equal band value form a group.  First
+all members of a group are compared with one of them, its leader, and what is
+alike is joined into classes; that settles groups of copies at one comparison
+per member.  Only groups that still hold several classes are looked into, large
+ones in blocks: a member outside a block's largest class is compared with the
+members of other classes, by sketch and, unless the sketches put the pair five
+standard errors below the threshold, by all shingles.  A pair is compared in
+the first band that it shares, and a member names one link to a class.
+
+So pairs are neither listed nor shuffled, only links are, and no pair that
+shares a band is left out but those of one class.
 
 Links and classes stay in Spark: classes come from passing the smallest label
-along links with pointer jumping, one written table per round.
+along links with pointer jumping, one written table per round, and later links
+are joined on classes instead of members.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from .common import blocks, stored, text_bytes, whole_text
 from .shingles import WIDTH, shingle_hashes
 
 TEXT_BYTES = 1 << 20
-GROWTH = 8
+#: Members compared with each other in one block.
+BLOCK = 1024
 
-Bands = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From texts end to end and where they begin: band values, which texts have any, and one byte per
+#: register.  Bands are equal if and only if their bytes are.
+Bands = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 Similarity = Callable[[np.ndarray, np.ndarray], float]
 
 
@@ -39,20 +46,22 @@ def node(text: Column) -> Column:
 
 
 def nodes_of(docs: DataFrame, bands: Bands) -> DataFrame:
-    """``doc_id, node, bands`` of every document; null bands for a text without words."""
+    """``doc_id, node, bands, sketch`` of every document; null bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_bytes(batch["text"])
             for lo, hi in blocks(starts, TEXT_BYTES):
-                values, has = bands(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
+                values, has, registers = bands(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo])
                 flat = pa.array(values.view(np.int64).reshape(-1))
                 at = pa.array(np.arange(0, (hi - lo) * values.shape[1] + 1, values.shape[1]), pa.int32())
                 listed = pa.ListArray.from_arrays(at, flat, mask=pa.array(~has))
-                yield pa.record_batch([batch["doc_id"][lo:hi].cast(pa.int64()), batch["node"][lo:hi], listed], names=["doc_id", "node", "bands"])
+                sketch = pa.array([r.tobytes() for r in registers], pa.binary())
+                made = [batch["doc_id"][lo:hi].cast(pa.int64()), batch["node"][lo:hi], listed, sketch]
+                yield pa.record_batch(made, names=["doc_id", "node", "bands", "sketch"])
 
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("node", node(F.col("text")))
-    return rows.mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, node binary, bands array<long>, sketch binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: Similarity, threshold: float, width: int) -> DataFrame:
@@ -98,65 +107,142 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_labels(docs: DataFrame, bands: Bands, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes after further links between their members."""
+    of = labels.select(F.col("node"), F.col("label"))
+    ends = links
+    for side in ("a", "b"):
+        named = of.select(F.col("node").alias(side), F.col("label").alias("to"))
+        ends = ends.join(named, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    merged = components(ends.where("a != b"))
+    to = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = merged.join(labels.select("node"), "node", "left_anti")
+    return stored(old.unionByName(new), "labels")
+
+
+def members_of(group: pa.Table, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sketches and shingles of the rows of a group."""
+    sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(group.num_rows, -1)
+    data, starts = text_bytes(group["text"])
+    shingles: list[np.ndarray] = []
+    for lo, hi in blocks(starts, TEXT_BYTES):
+        found, rows = shingle_hashes(data[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo], width)
+        shingles += [found[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+    return sketch, shingles
+
+
+def links_in(group: pa.Table, similar: Similarity, threshold: float, rows: int, width: int) -> list[tuple[int, int]]:
+    """Links between classes of a block, as positions; ``rows`` registers make a band."""
+    label = group["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    own, band = group["own"].to_numpy(), int(group["band"][0].as_py())
+    apart = group["low"][0].as_py() != group["high"][0].as_py()  # two blocks: only pairs across them
+    sketch, shingles = members_of(group, width)
+    least = threshold - 5 * (threshold * (1 - threshold) / sketch.shape[1]) ** 0.5
+    asking, links = np.flatnonzero(label != np.bincount(label).argmax()), []
+    for lo in range(0, len(asking), 32):
+        mine = asking[lo : lo + 32]
+        same = sketch[mine][:, None, :] == sketch[None, :, :]
+        agree = same.mean(axis=2)
+        agree[label[mine][:, None] == label[None, :]] = 0
+        if apart:
+            agree[own[mine][:, None] == own[None, :]] = 0
+        if band:
+            before = same[:, :, : band * rows].reshape(len(mine), len(label), band, rows)
+            agree[before.all(axis=3).any(axis=2)] = 0
+        for row, shares in zip(mine.tolist(), agree, strict=True):
+            linked: set[int] = set()
+            found = np.flatnonzero(shares >= least)
+            for other in found[np.argsort(-shares[found], kind="stable")].tolist():
+                if label[other] not in linked and similar(shingles[row], shingles[other]) >= threshold:
+                    linked.add(label[other])
+                    links.append((row, other))
+    return links
+
+
+def cross_links(rest: DataFrame, similar: Similarity, threshold: float, rows: int, width: int) -> DataFrame:
+    """Links ``a, b`` between members of different classes in a group.
+
+    ``rest`` has ``value, band, node, label, size, sketch, text``.  Members of
+    a block's largest class ask for nothing: the others ask them.
+    """
+
+    def links_of(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = links_in(group, similar, threshold, rows, width)
+        if found:
+            node = group["node"].combine_chunks()
+            one, two = (node.take(pa.array(x)) for x in zip(*found, strict=True))
+            yield pa.record_batch([one, two], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks()
+            keys = [whole[c].to_numpy() for c in ("value", "low", "high")]
+            changes = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            edges = [0, *changes.tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield from links_of(whole.slice(a, b - a))
+            held = whole.slice(edges[-1]).combine_chunks().to_batches()  # the last group may go on
+        if held:
+            yield from links_of(pa.Table.from_batches(held))
+
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("node", "value"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    dealt = dealt.select("value", "low", "high", "own", "band", "node", "label", "sketch", "text")
+    dealt = dealt.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def near_labels(docs: DataFrame, bands: Bands, rows: int, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """``doc_id, node, label`` of ``docs(doc_id, text)``; documents of one class share the label."""
     signed = stored(nodes_of(docs, bands), "signed")
     distinct = signed.where("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
-    rows = distinct.select("node", F.explode("bands").alias("value"))
-    groups = rows.groupBy("value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(rows.join(groups, "value"), "members")
+    values = distinct.select("node", F.posexplode("bands").alias("band", "value"))
+    groups = values.groupBy("value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(values.join(groups, "value"), "members")
 
     wanted = stored(members.select("node").distinct(), "wanted")
     texts = docs.select(whole_text().alias("text")).withColumn("node", node(F.col("text")))
     texts = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    # A member's place in its group's order of leaders, from 0 to 1.
-    draw = F.pmod(F.xxhash64("node", "value"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    members = members.select("value", "node", "leader", "size", draw.alias("draw"))
     pairs = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verified(pairs, texts, similar, threshold, width), "links")
-    asked = stored(pairs, "asked")
-    leaders, labels = 0, None
-    while True:
-        labels = components(links)
-        marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_groups = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("value")
-        # A group in which all have led is done.
-        rest = marked.join(open_groups, "value", "left_semi").where(F.col("size") > leaders)
-        rest = stored(rest, "open")
-        if rest.isEmpty():
-            break
-        before, leaders = leaders, max(1, leaders) * GROWTH
-        place = F.col("draw") * F.col("size")
-        now = rest.where((place < leaders) & (place >= before)).select("value", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        found = rest.select("value", F.col("node").alias("b"), F.col("label").alias("label_b")).join(now, "value").where("label_a != label_b")
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(found.join(asked, ["a", "b"], "left_anti"), "found")
-        links = links.unionByName(stored(verified(found, texts, similar, threshold, width), "links"))
-        asked = asked.unionByName(found)
-
+    labels = components(stored(verified(pairs, texts, similar, threshold, width), "links"))
+    marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    rest = marked.select("value", "band", "node", "label", "size").join(several.select("value"), "value", "left_semi")
+    rest = stored(rest, "open")
+    if not rest.isEmpty():
+        mine = signed.join(rest.select("node").distinct(), "node", "left_semi")
+        sketches = mine.groupBy("node").agg(F.first("sketch").alias("sketch"))
+        links = cross_links(rest.join(sketches, "node").join(texts, "node"), similar, threshold, rows, width)
+        labels = joined(labels, stored(links, "links"))
     return signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def near_classes(docs: DataFrame, bands: Bands, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+def near_classes(docs: DataFrame, bands: Bands, rows: int, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """``doc_id, class_id`` of ``docs(doc_id, text)``; a class is named by its smallest doc_id.
 
     Edge cases: a null text is empty; a text without words is alike only to
     equal ones; null doc_ids get a class and name one only if nothing else does;
     repeated rows give repeated rows; an empty table gives none.
     """
-    named = near_labels(docs, bands, similar, threshold, width)
+    named = near_labels(docs, bands, rows, similar, threshold, width)
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "label").select("doc_id", "class_id")
 
 
-def one_of_each(docs: DataFrame, bands: Bands, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+def one_of_each(docs: DataFrame, bands: Bands, rows: int, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """One row of each class of ``docs``, with all its columns.
 
     It is one of smallest doc_id (null last), of several the first by digest of
     the text, and of rows that share both any one.
     """
-    named = near_labels(docs, bands, similar, threshold, width)
+    named = near_labels(docs, bands, rows, similar, threshold, width)
     best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     own, key = f"node_{uuid.uuid4().hex}", f"id_{uuid.uuid4().hex}"  # names that no column of docs has
     best = best.select(F.col("best.node").alias(own), F.col("best.doc_id").alias(key))

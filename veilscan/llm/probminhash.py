@@ -92,19 +92,20 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def bands(width: int) -> Bands:
-    def of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shingles, rows = shingle_hashes(data, starts, width)
-        kept = mix(sketches(shingles, rows)) & np.uint64(0xFFFF_FFFF)
-        return band_values(kept, BAND), np.diff(rows) > 0
+        # Bands are made of the bytes that are compared later, so both agree on who shares a band.
+        kept = (mix(sketches(shingles, rows)) & np.uint64(0xFF)).astype(np.uint8)
+        return band_values(kept, BAND), np.diff(rows) > 0, kept
 
     return of
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """``doc_id, class_id`` of ``docs(doc_id, text)``; see ``linking.near_classes``."""
-    return near_classes(docs, bands(width), probability_jaccard, threshold, width)
+    return near_classes(docs, bands(width), BAND, probability_jaccard, threshold, width)
 
 
 def without_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """One row of each class of ``docs``; see ``linking.one_of_each``."""
-    return one_of_each(docs, bands(width), probability_jaccard, threshold, width)
+    return one_of_each(docs, bands(width), BAND, probability_jaccard, threshold, width)

@@ -167,13 +167,13 @@ SECRET_MARKS = (r"[:=]\s*['\"]", r"(?i)(?:secret|passw|pwd)")
 
 
 # Rules whose expression needs more than linear time on a hostile line, in two
-# steps that find the same: whole runs, and what a run must hold.  The last part
+# steps that find the same: whole runs, and how a run must begin.  The last part
 # of such a rule takes all of its run, and a run that fails from its first start
 # fails from every later one.
 TWO_STEPS = {
     "DATABASE_URL": (
         r"(?i)(postgres|postgresql|mysql|mongodb|redis)://[^\s'\"]*+",
-        r"://[^:]*+:.[^@]*+@.",
+        r"^[^:]*+://[^:]*+:.[^@]*+@.",
     ),
 }
 

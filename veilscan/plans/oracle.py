@@ -106,6 +106,11 @@ def snippet(c: str, s: str, e: str, context: int, show: int = 4) -> str:
         CASE WHEN {e} + {context} < length({c}) THEN '...' ELSE '' END)"""
 
 
+def hidden_snippet(c: str, m: str, s: str, e: str, context: int, show: int = 4) -> str:
+    """``snippet`` with its surroundings from the starred line."""
+    return snippet(m, s, e, context, show).replace(f"substring({m}, {e} - {show} + 1", f"substring({c}, {e} - {show} + 1")
+
+
 def excluded_walk(more: tuple[str, ...] = ("reports", "data")) -> str:
     inside = f"len(list_filter(parts[1:len(parts) - 1], lambda x: list_contains({listed([*DIRS, *more])}, x) OR suffix(x, '.egg-info'))) > 0"
     ending = f"len(list_filter(parts, lambda x: regexp_matches(x, {q(ENDINGS)}))) > 0"
@@ -189,7 +194,16 @@ def found_in(files: str, excluded: str, name: str = "found", keys: str = "") ->
 
 
 FOUND = f"WITH {FILES}, {found_in('files', excluded_walk())}"
-PLAN = f"""{FOUND}, plan AS MATERIALIZED (
+# The same with every span of the line starred out of a snippet but the last characters of its own.
+STORED = f"""WITH {FILES}, {found_in('files', excluded_walk(), 'raw')},
+    starred AS MATERIALIZED (
+      SELECT path, line, content, array_to_string(list_transform(generate_series(1, length(content)),
+          lambda i: CASE WHEN list_bool_or(list_transform(sp, lambda x: i > x.s AND i <= x.e)) THEN '*' ELSE substring(content, i, 1) END), '') AS stars
+      FROM (SELECT path, line, list({{'s': "column", 'e': "end"}}) AS sp FROM raw WHERE line > 0 GROUP BY path, line) g0 JOIN raw_lines USING (path, line)),
+    found AS MATERIALIZED (
+      SELECT raw.* REPLACE (CASE WHEN raw.line = 0 THEN snippet ELSE {hidden_snippet('content', 'stars', '"column"', '"end"', 30)} END AS snippet)
+      FROM raw LEFT JOIN starred USING (path, line))"""
+PLAN = f"""{STORED}, plan AS MATERIALIZED (
       SELECT *, {env_name('rule', 'n')} AS env_var_name FROM (
         SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line, kind, rule_ord, "column") - 1 AS n
         FROM found WHERE line > 0) p0)"""
@@ -356,8 +370,8 @@ def build() -> dict[str, str]:
     o["src8_added_lines"] = f"WITH {DIFFS}, {ADDED} SELECT sha, diff_ord, line, content FROM added"
     o["src9_commit_metadata"] = f"WITH {COMMITS}, {META} SELECT * EXCLUDE (id) FROM meta"
     kept = f"{PLACE}, snippet, round(confidence, 9) AS confidence"
-    o["src10_load_findings"] = f"{FOUND} SELECT {kept} FROM found WHERE confidence >= 0.7"
-    o["snk1_save_findings"] = f"{FOUND} SELECT {kept} FROM found WHERE confidence >= 0.9"
+    o["src10_load_findings"] = f"{STORED} SELECT {kept} FROM found WHERE confidence >= 0.7"
+    o["snk1_save_findings"] = f"{STORED} SELECT {kept} FROM found WHERE confidence >= 0.9"
     o["snk2_append_log"] = "SELECT event_type AS reason, cast(floor(value) AS INTEGER) AS findings_bypassed, cast(user_id AS VARCHAR) AS user FROM events"
     o["snk3_migration_log"] = f"{FOUND} SELECT 2 * count(*) AS migrations, '2024-01-02 00:00:00' AS created_at, '2024-03-04 00:00:00' AS last_updated FROM found WHERE line > 0 AND confidence >= 0.95"
     o["snk4_override_log"] = "SELECT cast(user_id AS VARCHAR) AS user, count(*) AS overrides, cast(sum(cast(floor(value) AS INTEGER)) AS BIGINT) AS findings_bypassed FROM events GROUP BY user_id"
@@ -383,7 +397,7 @@ def build() -> dict[str, str]:
     o["flt8_staged_skip"] = f"WITH {FILES} SELECT path FROM files WHERE NOT ({staged}) AND text <> ''"
     o["flt9_deleted_skip"] = f"WITH {DIFFS}, {LIVE} SELECT sha, diff_ord, path FROM live"
     named = "(SELECT *, split_part(path, '/', -1) AS path_name FROM found) f"
-    o["prj1_to_dict"] = f"{FOUND} SELECT {kept}, {advice()} AS remediation FROM {named}"
+    o["prj1_to_dict"] = f"{STORED} SELECT {kept}, {advice()} AS remediation FROM {named}"
     o["prj2_confidence_band"] = f"{FOUND} SELECT {PLACE}, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM found"
     o["prj3_confidence_level"] = f"""{FOUND} SELECT {PLACE},
       CASE WHEN confidence >= 0.9 THEN 'critical' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS level,
@@ -444,7 +458,7 @@ def build() -> dict[str, str]:
       UNION ALL SELECT path, line, min(s), rule, token FROM ({entropy_hits('lines')}) x
       WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = x.path AND r.line = x.line AND r.token = x.token) GROUP BY path, line, rule, token"""
     o["ded2_commit_dedup"] = f'WITH {COMMIT_FOUND} SELECT sha, diff_ord, line, s AS "column", token FROM commit_found WHERE kind = 2'
-    o["srt1_report_order"] = f'{FOUND} SELECT {kept} FROM found ORDER BY path, line, "column", rule'
+    o["srt1_report_order"] = f'{STORED} SELECT {kept} FROM found ORDER BY path, line, "column", rule'
     o["srt2_env_order"] = f"{PLAN} SELECT DISTINCT env_var_name AS name FROM plan ORDER BY name"
     o["lim1_newest_commits"] = f"WITH {COMMITS} SELECT sha, committed_at FROM commits ORDER BY committed_at DESC, sha LIMIT 25"
     o["top1_longest_literal"] = f"WITH {LINES} SELECT path, line, {longest('w')} AS longest FROM (SELECT path, line, string_split(content, ' ') AS w FROM lines) x"

@@ -598,7 +598,7 @@ def ded2_commit_dedup(spark, sf):
 
 @query
 def srt1_report_order(spark, sf):
-    return report.report_order(shown(findings(spark, sf)))
+    return report.report_order(findings(spark, sf)).select(*PLACE, "snippet", r9("confidence").alias("confidence"))
 
 
 @query

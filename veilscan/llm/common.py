@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(*tables: DataFrame) -> None:
+    """Remove the files of tables made by ``stored`` that nothing will read again.
+
+    On a file system that only Spark reaches they stay.
+    """
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            folder = re.sub("^file:/+", "/", files[0].rpartition("/")[0])
+            try:
+                system, inner = opened(folder)
+                system.delete_dir(inner)
+            except (OSError, pa.ArrowInvalid):
+                continue
+
+
 def whole_text(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -44,6 +44,8 @@ SAMPLE = 8192
 MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 TEXT_CHARS = 1 << 19
+#: Texts taken from Arrow at a time.
+ROWS = 1000
 BLOCK_GRAMS = 4096
 #: With more letters than this in a block, n-grams are sorted instead of counted in a dense table.
 DENSE_LETTERS = 150
@@ -180,7 +182,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, gram: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             texts, names = batch["text"].to_pylist(), np.array(batch["lang"].to_pylist(), object)
             for lo, hi in text_blocks(texts):
                 made = vectors(texts[lo:hi], dims, gram).astype(np.float64)
@@ -209,7 +211,7 @@ def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DI
     docs = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             texts = pc.fill_null(batch["text"], "").to_pylist()
             best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
             for lo, hi in text_blocks(texts) if table is not None else ():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, stored, text_bytes, whole_text
+from .common import blocks, free, stored, text_bytes, whole_text
 from .shingles import WIDTH, shingle_hashes
 
 TEXT_BYTES = 1 << 20
@@ -221,7 +221,10 @@ def near_labels(docs: DataFrame, bands: Bands, rows: int, similar: Similarity, t
         sketches = mine.groupBy("node").agg(F.first("sketch").alias("sketch"))
         links = cross_links(rest.join(sketches, "node").join(texts, "node"), similar, threshold, rows, width)
         labels = joined(labels, stored(links, "links"))
-    return signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = signed.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = stored(named.select("doc_id", "node", "label"), "named")
+    free(signed, members, wanted, texts, rest)
+    return named
 
 
 def near_classes(docs: DataFrame, bands: Bands, rows: int, similar: Similarity, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:

@@ -204,11 +204,12 @@ def near_labels(docs: DataFrame, bands: Bands, rows: int, similar: Similarity, t
     distinct = signed.where("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     values = distinct.select("node", F.posexplode("bands").alias("band", "value"))
     groups = values.groupBy("value").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(values.join(groups, "value"), "members")
+    # Both sides grow with the corpus, so neither is ever broadcast: one plan at every size.
+    members = stored(values.join(groups.hint("merge"), "value"), "members")
 
     wanted = stored(members.select("node").distinct(), "wanted")
     texts = docs.select(whole_text().alias("text")).withColumn("node", node(F.col("text")))
-    texts = stored(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = stored(texts.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     pairs = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(stored(verified(pairs, texts, similar, threshold, width), "links"))

@@ -179,6 +179,56 @@ def test_boosting_adds_spelled_out_spans(spark, many_private):
         assert [rows[i][f"n_{k}"] for k in private.KINDS] == [sum(s[2] == j for s in base) for j in range(4)]
 
 
+def disguised(kind, rnd):
+    """Personal data that no plain rule finds."""
+    if kind == 0:
+        return f"u{rnd.randrange(9999)} " + rnd.choice(("at mail{0} dot example dot com", "(at) mail{0} (dot) org", "[at]mail{0}[dot]net")).format(rnd.randrange(99))
+    if kind == 1:
+        return rnd.choice(("[.]", "(.)", "[dot]")).join(str(rnd.randrange(256)) for _ in range(4))
+    if kind == 2:
+        digits = "4" + "".join(str(rnd.randrange(10)) for _ in range(14))
+        card = next(digits + str(d) for d in range(10) if private.luhn(digits + str(d)))
+        return rnd.choice("./").join(card[i : i + 4] for i in range(0, 16, 4))
+    return rnd.choice(("({}) {}-{}", "{}-{}-{}")).format(rnd.randrange(200, 999), rnd.randrange(200, 999), rnd.randrange(1000, 9999))
+
+
+def usual(kind, rnd):
+    """Personal data that a plain rule finds."""
+    if kind == 0:
+        return f"u{rnd.randrange(9999)}@mail{rnd.randrange(99)}.example.com"
+    if kind == 1:
+        return ".".join(str(rnd.randrange(256)) for _ in range(4))
+    if kind == 2:
+        digits = "5" + "".join(str(rnd.randrange(10)) for _ in range(14))
+        return next(digits + str(d) for d in range(10) if private.luhn(digits + str(d)))
+    return f"+1 ({rnd.randrange(200, 999)}) {rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}"
+
+
+def test_a_third_of_the_spans_disguised(spark):
+    rnd, rows, hidden = random.Random(4), [], []
+    for i in range(1500):
+        before, after = (re.sub("[0-9]", "", prose(2 * i + k, 7)) for k in (0, 1))
+        own = disguised(i % 4, rnd) if i % 3 == 0 else usual(i % 4, rnd)
+        if i % 3 == 0:
+            hidden.append((f"{before} {own} {after}", (len(before) + 1, len(before) + 1 + len(own), i % 4)))
+        rows.append((i, f"{before} {own} {after}"))
+    chooser = private.trained(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = private.spans_of([t for t, _ in hidden], chooser)
+    share = [np.mean([want in every for (_, want), (_, every) in zip(hidden, found, strict=True) if want[2] == k]) for k in range(4)]
+    assert min(share) > 0.95, share
+    wrong = ["paid 5 @ 3.50 each", "host 10[.]2[.]333[.]4 is", "lists 1, 2, 3, 4 of", "device 0a:1b:2c:3d:4e:5f up", "card 4111.1111.1111.1112 no", "order no. 504-555-2652 is"]
+    assert [every for _, every in private.spans_of(wrong, chooser)] == [[]] * len(wrong)
+    six = "login from 2001:db8:85a3:12:ab:8a2e:370:7334 now"
+    assert private.written(private.spans_of([six], chooser)[0][1]) == "ip:11:44"
+
+
+def test_likely_proposals_are_no_negatives():
+    for text in ("a at b dot org", "h 10[.]0[.]0[.]1", "4111/1111/1111/1111", "tel 504 555 2652", "x (504) 555-2652", "1:2:3:4:5:6:7:8"):
+        assert not [e for e in private.examples(text) if e[1] in {s[2] for s in private.proposals(text) if private.likely(text, s)}], text
+    for text in ("me @ home. Then", "10[.]0[.]0[.]256", "4111/1111/1111/1112", "order 504-555-2652", "a0:b1:c2:d3:e4:f5"):
+        assert [e[2] for e in private.examples(text)].count(0), text
+
+
 def test_private_in_odd_rows(docs, no_docs):
     got = private.found(docs).collect()
     assert len(got) == len(ROWS) and private.found(no_docs).count() == 0

@@ -229,6 +229,22 @@ def test_likely_proposals_are_no_negatives():
         assert [e[2] for e in private.examples(text)].count(0), text
 
 
+def test_copies_do_not_crowd_out_training(spark, many_private):
+    rows = [tuple(r) for r in many_private.collect()]
+    hot = " ".join(f"w {k} @ {k}.{k} or {k}/{k}/{k}/{'9' * (k % 7 + 2)}" for k in range(100, 140))
+    docs = spark.createDataFrame(rows + [(1000 + i, hot) for i in range(200)], "doc_id long, text string").repartition(4)
+    found = private.trained(docs, rows=2000)
+    assert all(found.limits[k] <= 1 for k in (0, 1, 3)), found.limits
+
+
+def test_training_draws_distinct_texts(spark, many_private):
+    texts = many_private.select("text").union(many_private.limit(1).select("text").crossJoin(spark.range(2000)).select("text"))
+    drawn = private.training_rows(texts.repartition(4), 10**6, 10**6)
+    assert len({(r.digest, r.number) for r in drawn}) == len(drawn)
+    assert sorted(drawn) == sorted(private.training_rows(many_private, 10**6, 10**6))
+    assert len({r.digest for r in private.training_rows(texts, 100, 10**6)}) < 200
+
+
 def test_private_in_odd_rows(docs, no_docs):
     got = private.found(docs).collect()
     assert len(got) == len(ROWS) and private.found(no_docs).count() == 0

@@ -1,5 +1,6 @@
 """Archives, host rules, languages, personal data, the queries and the pipeline."""
 
+import base64
 import gzip
 import hashlib
 import os
@@ -291,6 +292,27 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in packed} == {r.doc_id for r in clean}
 
 
+def test_pipeline_rejects_what_is_no_language(spark, sf):
+    rnd = random.Random(3)
+    noise = [base64.b64encode(rnd.randbytes(n)).decode() for n in (200, 900, 5000)]
+    noise += ["".join(rnd.choice("bcdfghjklmnpqrstvwxz  ") for _ in range(n)) for n in (300, 3000)]
+    rows = [(10**9 + i, text, None, "s", len(text)) for i, text in enumerate([*noise, "1 + 2 = 3"])]
+    # A limit rests on 50 labelled rows of a language.
+    table = spark.read.parquet(f"{sf}/documents.parquet").crossJoin(spark.range(12))
+    table = table.selectExpr("doc_id * 12 + id AS doc_id", "text", "lang", "source", "n_chars")
+    got = corpus_pipeline.identify(spark, table.union(spark.createDataFrame(rows, table.schema)), "").collect()
+    assert not [r for r in got if r.doc_id >= 10**9]
+    assert len(got) == table.where(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_und_as_a_label_is_kept(spark):
+    words = {"und": "kala vesi talo puu", "en": "house river water tree"}
+    rows = [(i, " ".join(rnd.choices(words[lang].split(), k=30)), lang, "s") for lang in words for rnd in [random.Random(1)] for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = corpus_pipeline.identify(spark, table, "").groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {"und": 100, "en": 100}
+
+
 def test_pipeline_of_no_documents(spark, no_docs):
     rows = no_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:

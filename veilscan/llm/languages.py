@@ -17,6 +17,10 @@ are whole numbers, so prototypes do not depend on the order in which tasks end.
 The table of prototypes has one row per language, and more than
 ``MOST_LANGUAGES`` are an error.  Prediction covers every row.
 
+Where texts of no language shall go, ``recognised`` drops those without letters,
+by a null and not by a name, and those whose score is below a limit learned from
+labelled texts of the predicted language (``score_limits``).
+
 Edge cases: a text that is null or has no letters is ``und`` with score 0;
 without any training text everything is ``und``; of equal cosines the first
 language in alphabetical order wins; repeated rows give equal rows; rows with
@@ -44,6 +48,12 @@ SAMPLE = 8192
 MOST_LANGUAGES = 10_000
 UNKNOWN = "und"
 TEXT_CHARS = 1 << 19
+#: Score limits are for texts of at least so many letters, as a power of 2: shorter ones score no better than noise.
+LEAST_SIZE = 6
+#: Rows that the limit of a language, and of a language and size, rests on at least.
+LEAST_ROWS, SIZE_ROWS = 50, 1000
+#: The quantile of their scores that counts, and the part of it that is the limit.
+LOWEST, MARGIN = 0.001, 0.8
 #: Texts taken from Arrow at a time.
 ROWS = 1000
 BLOCK_GRAMS = 4096
@@ -204,9 +214,12 @@ def trained(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, gram: int =
     return {name: out[name] / np.linalg.norm(out[name]) for name in sorted(out) if np.any(out[name])}
 
 
-def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` after its columns; columns of these names are replaced."""
-    names = np.array([*prototypes, UNKNOWN], object)
+def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS, gram: int = GRAM, unknown: str | None = UNKNOWN) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` after its columns; columns of these names are replaced.
+
+    Texts without letters are named ``unknown``; with None they differ from every learned label.
+    """
+    names = np.array([*prototypes, unknown], object)
     table = np.array([*prototypes.values()]).T if prototypes else None
     docs = docs.drop("lang_pred", "score")
 
@@ -227,6 +240,48 @@ def predicted(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DI
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def size_class(column: str = "text") -> Column:
+    """The whole part of the binary logarithm of a text's number of letters; null if there are none."""
+    return F.floor(F.log2(F.length(F.regexp_replace(column, r"\P{L}+", "")))).cast("int")
+
+
+def score_limits(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE) -> DataFrame:
+    """``lang_pred, size, score_limit``: the score below which texts of at least ``2**LEAST_SIZE`` letters have no language.
+
+    Labelled texts that are told rightly give the quantile ``LOWEST`` of their
+    scores; ``MARGIN`` of it is the limit of their language (size null) and,
+    where ``SIZE_ROWS`` of them are of one size, of that size.  A language with
+    fewer than ``SIZE_ROWS`` of them has at most the least limit of any language,
+    as so few say little of a quantile, and with fewer than ``LEAST_ROWS`` none.
+    """
+    rows = sampled(docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL"), sample)
+    told = predicted(rows, prototypes, unknown=None).where(F.col("lang") == F.col("lang_pred"))
+    told = told.select("lang_pred", size_class().alias("size"), "score").where(F.col("size") >= LEAST_SIZE)
+    found = told.rollup("lang_pred", "size").agg(
+        F.count("*").alias("n"), F.percentile_approx("score", LOWEST, 10_000).alias("low"), F.grouping_id().alias("over")
+    )
+    enough = F.when(F.col("over") == 0, F.col("n") >= SIZE_ROWS).otherwise((F.col("over") == 1) & (F.col("n") >= LEAST_ROWS))
+    found = stored(found.where(enough).select("lang_pred", "size", "n", (F.col("low") * MARGIN).alias("score_limit")), "score-limits")
+    least = found.where("size IS NULL").agg(F.min("score_limit").alias("least"))
+    limit = F.when(F.col("n") >= SIZE_ROWS, F.col("score_limit")).otherwise(F.col("least"))
+    return found.crossJoin(F.broadcast(least)).select("lang_pred", "size", limit.alias("score_limit"))
+
+
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], limits: DataFrame) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, without texts that have no letters or score below their limit."""
+    told = predicted(docs, prototypes, unknown=None).where("lang_pred IS NOT NULL")
+    by_language: dict[str, dict[int, float]] = {}
+    for row in limits.collect():  # languages times classes of size
+        by_language.setdefault(row.lang_pred, {})[-1 if row.size is None else row.size] = row.score_limit
+    if not by_language:
+        return told
+    table = F.broadcast(told.sparkSession.createDataFrame([(k, v) for k, v in by_language.items()], "limit_lang string, limit_of map<int, double>"))
+    joined = told.join(table, F.col("lang_pred") == F.col("limit_lang"), "left")
+    size = size_class()
+    limit = F.coalesce(F.col("limit_of")[size], F.col("limit_of")[F.lit(-1)])
+    return joined.where(~F.coalesce((size >= LEAST_SIZE) & (F.col("score") < limit), F.lit(False))).select(*told.columns)
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of ``docs(doc_id, text, lang)``, learned from those not held out."""
     marked = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))

@@ -84,7 +84,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, for span hashes."""
+    """Powers of an odd number modulo 2**64 and of its inverse, for hashes whose hits are compared."""
 
     BASE = 0x9E3779B97F4A7C15
 
@@ -104,13 +104,47 @@ class Powers:
 POWERS = Powers()
 
 
+#: Two primes of 31 bits and a base for each: hashes of spans are remainders by both.
+PRIMES = (2147483647, 2147483629)
+BASES = (1597334677, 1084773251)
+FIELD_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of a base and of its inverse, modulo its prime."""
+    if which not in FIELD_POWERS or len(FIELD_POWERS[which][0]) < n:
+        p, found = PRIMES[which], []
+        for base in (BASES[which], pow(BASES[which], -1, p)):
+            out = np.ones(1, np.uint64)
+            while len(out) < max(n, 1 << 19):
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)])
+            found.append(out)
+        FIELD_POWERS[which] = (found[0], found[1])
+    return FIELD_POWERS[which]
+
+
+def prefix_sums(values: np.ndarray, p: int) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... values of less than 2**40, modulo ``p``."""
+    out, step = np.zeros(len(values) + 1, np.uint64), 1 << 23
+    for lo in range(0, len(values), step):
+        part = values[lo : lo + step]
+        out[lo + 1 : lo + 1 + len(part)] = (np.cumsum(part) + out[lo]) % np.uint64(p)
+    return out
+
+
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal bytes give equal hashes."""
-    up, down = POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[begin]) * down[begin]
-    return mix(h + (end - begin).astype(np.uint64))
+    """A hash of 62 bits, mixed to 64, of each span of bytes; equal bytes give equal hashes.
+
+    Polynomials over two prime fields, where a fixed pattern such as a
+    Thue-Morse word has no power of two to vanish by.
+    """
+    digits, both = data.astype(np.uint64) + np.uint64(1), np.zeros(len(begin), np.uint64)
+    for which, prime in enumerate(PRIMES):
+        p = np.uint64(prime)
+        up, down = powers(which, len(data) + 1)
+        sums = prefix_sums(digits * up[: len(data)], prime)
+        both = (both << np.uint64(31)) | ((sums[end] + p - sums[begin]) % p * down[begin] % p)
+    return mix(both)
 
 
 def ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:

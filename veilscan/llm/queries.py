@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, hosts, idplanes, languages, packing, private, probminhash, repeats, speculate, warc
+from . import (
+    fingerprints,
+    hosts,
+    idplanes,
+    languages,
+    linedups,
+    manifest,
+    packing,
+    periodic,
+    private,
+    probminhash,
+    repeats,
+    speculate,
+    warc,
+)
 from .common import table
 
 
@@ -65,6 +79,21 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.found(table(spark, sf_dir, "documents"))
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that an earlier one holds."""
+    return linedups.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its tampered leaf is found out."""
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_block_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and the text without their repeats."""
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_fingerprints": op1_minhash_fingerprints,
     "op2_bitplane_tokens": op2_bitplane_tokens,
@@ -76,4 +105,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_probminhash_classes": op9_probminhash_classes,
     "op10_boosted_pii": op10_boosted_pii,
+    "op11_line_runs": op11_line_runs,
+    "op12_merkle_climb": op12_merkle_climb,
+    "op13_block_convolution": op13_block_convolution,
 }

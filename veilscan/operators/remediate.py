@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hof import let
 from ..functions.naming import env_var_name
 from ..functions.paths import file_kind
+from ..functions.substitute import IMPORT, JS_STYLES, PYTHON_STYLES, applied, changes, import_edit, substituted
 from ..functions.text import split_lines
 from ..session import checkpointed
 from .joins import fits_broadcast, semi_join
@@ -21,7 +24,6 @@ ASK, MASKED = "<ask user to provide>", "<masked>"
 NOT_EXTRACTED = "no value found on the line"
 NOT_FOUND = "value not found in the file"
 NO_FILE = "no such file"
-MULTI_LINE = "value spans lines"
 
 ORDER = ["path", "line", "kind", "rule_ord", "column"]
 
@@ -189,11 +191,6 @@ def insert_line(text: Column, at: Column, new_line: str) -> Column:
     )
 
 
-# Quote styles as prefix and quote, longer forms before the shorter they hold.
-PYTHON_STYLES = [("f", '"""'), ("", '"""'), ("f", '"'), ("", '"'), ("f", "'''"), ("", "'''"), ("f", "'"), ("", "'")]
-JS_STYLES = [("", '"'), ("", "'"), ("", "`")]
-
-
 def _swap(text: Column, value: Column, styles: list[tuple[str, str]], name: Column, call: Column) -> Column:
     """Replace the quoted value, or the bare value where it is never quoted.
 
@@ -260,13 +257,53 @@ def _migration_list() -> Column:
     )
 
 
-def rewrite_files(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """Apply each file's migrations in plan order.
+RESULT = "struct<ord:int,line:int,env_var_name:string,success:boolean,error:string>"
+CHANGE = "struct<line:int,before:string,after:string>"
+
+
+def _rewrite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, text, kind, import_at, todo`` to what ``rewrite_files`` returns."""
+    result = pa.struct([("ord", pa.int32()), ("line", pa.int32()), ("env_var_name", pa.string()), ("success", pa.bool_()), ("error", pa.string())])
+    change = pa.struct([("line", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+    for batch in batches:
+        for row in batch.to_pylist():
+            text, todo, edits, there = row["text"], row["todo"], [], []
+            if text is not None:
+                edits, there = substituted(text, row["kind"], [(m["value"], m["env_var_name"]) for m in todo])
+            results = []
+            for k, m in enumerate(todo):
+                error = NO_FILE if text is None else None if there[k] else NOT_FOUND if m["value"] else NOT_EXTRACTED
+                results.append({c: m[c] for c in ("ord", "line", "env_var_name")} | {"success": error is None, "error": error})
+            every, at, changed = edits, None, []
+            if text is not None:
+                changed = changes(text, edits)
+                if row["import_at"] is not None and any(there):
+                    inserted = import_edit(text, row["import_at"], edits)
+                    at = text.count("\n", 0, inserted.start) + inserted.text.startswith("\n")
+                    every = sorted([inserted, *edits])
+                    changed.append((at + 1, None, IMPORT))
+            yield pa.record_batch(
+                [
+                    pa.array([row["path"]], pa.string()),
+                    pa.array([text], pa.string()),
+                    pa.array([None if text is None else applied(text, every)], pa.string()),
+                    pa.array([at], pa.int32()),
+                    pa.array([results], pa.list_(result)),
+                    pa.array([[dict(zip(("line", "before", "after"), c, strict=True)) for c in changed]], pa.list_(change)),
+                ],
+                names=["path", "text_before", "text_after", "import_at", "results", "changes"],
+            )
+
 
-    Returns ``path, text_before, text_after, import_at, results``: the table
-    is new and the source stays as it is.  Values are read by the line numbers
-    of the original text.  A file's plan is held beside its text; the plan has
-    rows for strings found in that text, so it does not outgrow it.
+def rewrite_files(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """Apply each file's migrations in plan order, in one pass over its text.
+
+    Returns ``path, text_before, text_after, import_at, results, changes``: the
+    table is new and the source stays as it is.  Values are read by the line
+    numbers of the original text and sought in it, never in what another value
+    was replaced by; they may span lines.  Of values that hold one another the
+    first in the plan is replaced.  A file's plan is held beside its text; the
+    plan has rows for strings found in that text, so it does not outgrow it.
     """
     entry = F.struct(
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("line", "kind", "rule_ord", "column")],
@@ -287,55 +324,11 @@ def rewrite_files(files: DataFrame, plan: DataFrame) -> DataFrame:
     wanted = semi_join(files.select("path", "text"), plan, "path")
     joined = todo.withColumn("todo", numbered).join(wanted, "path", "left")
     kind = file_kind(F.col("path"))
-    valued = joined.withColumn("old_lines", split_lines(F.col("text"))).withColumn(
-        "todo", _migration_list()
-    )
-    start = F.struct(
-        F.col("text").alias("text"),
-        F.array()
-        .cast("array<struct<ord:int,line:int,env_var_name:string,success:boolean,error:string>>")
-        .alias("results"),
-    )
-
-    def apply(acc: Column, m: Column) -> Column:
-        def record(new: Column) -> Column:
-            error = (
-                F.when(F.col("text").isNull(), NO_FILE)
-                .when(F.coalesce(m["value"], F.lit("")) == "", NOT_EXTRACTED)
-                .when(m["value"].contains("\n"), MULTI_LINE)
-                .when(new.isNull(), NOT_FOUND)
-            )
-            return F.struct(
-                F.when(error.isNull(), new).otherwise(acc["text"]).alias("text"),
-                F.concat(
-                    acc["results"],
-                    F.array(
-                        F.struct(
-                            m["ord"].alias("ord"),
-                            m["line"].alias("line"),
-                            m["env_var_name"].alias("env_var_name"),
-                            error.isNull().alias("success"),
-                            error.alias("error"),
-                        )
-                    ),
-                ).alias("results"),
-            )
-
-        return let(rewrite_value(acc["text"], m["value"], m["env_var_name"], kind), record)
-
-    done = valued.withColumn("done", F.aggregate("todo", start, apply))
-    any_ok = F.exists("done.results", lambda r: r["success"])
-    wants = (kind == "python") & any_ok & needs_import(F.col("text"))
+    valued = joined.withColumn("old_lines", split_lines(F.col("text"))).withColumn("todo", _migration_list())
+    wants = (kind == "python") & needs_import(F.col("text"))
     at = F.when(wants, import_position(F.col("old_lines")))
-    return done.withColumn("import_at", at).select(
-        "path",
-        F.col("text").alias("text_before"),
-        F.when(F.col("import_at").isNull(), F.col("done.text"))
-        .otherwise(insert_line(F.col("done.text"), F.col("import_at"), "import os"))
-        .alias("text_after"),
-        "import_at",
-        F.col("done.results").alias("results"),
-    )
+    schema = f"path string, text_before string, text_after string, import_at int, results array<{RESULT}>, changes array<{CHANGE}>"
+    return valued.select("path", "text", kind.alias("kind"), at.alias("import_at"), "todo").mapInArrow(_rewrite_batches, schema)
 
 
 def rewrite_results(rewritten: DataFrame) -> DataFrame:
@@ -347,34 +340,10 @@ def rewrite_results(rewritten: DataFrame) -> DataFrame:
 
 
 def changed_lines(rewritten: DataFrame) -> DataFrame:
-    """Lines that differ: ``path, line, before, after``; an inserted line has
-    no ``before`` and carries its number in the new text."""
-    old, new = split_lines(F.col("text_before")), split_lines(F.col("text_after"))
-    at = F.col("import_at")
-    without = let(
-        new,
-        lambda ls: F.when(at.isNull(), ls).otherwise(
-            F.concat(F.slice(ls, F.lit(1), at), F.slice(ls, at + 2, F.size(ls)))
-        ),
-    )
-    row = "struct<line:int,before:string,after:string>"
-    pairs = F.transform(
-        F.arrays_zip(old.alias("before"), without.alias("after")),
-        lambda p, i: F.struct((i + 1).alias("line"), p["before"].alias("before"), p["after"].alias("after")).cast(
-            row
-        ),
-    )
-    differing = F.filter(pairs, lambda p: ~p["before"].eqNullSafe(p["after"]))
-    inserted = F.when(
-        at.isNotNull(),
-        F.array(
-            F.struct(
-                (at + 1).alias("line"), F.lit(None).cast("string").alias("before"), F.lit("import os").alias("after")
-            ).cast(row)
-        ),
-    ).otherwise(F.array().cast(f"array<{row}>"))
-    return (
-        rewritten.where(F.col("text_before").isNotNull())
-        .select("path", F.inline_outer(F.concat(differing, inserted)))
-        .where(F.col("line").isNotNull())
-    )
+    """Lines that differ: ``path, line, before, after``.
+
+    Old and new lines are aligned by the edits themselves.  A line that was
+    joined to the one before has no ``after``; an inserted line has no
+    ``before`` and carries its number in the new text, others that in the old.
+    """
+    return rewritten.select("path", F.inline("changes"))

@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
-SPARK = {"sha": "sha2({0}, 256)", "b64": "base64(unhex({0}))"}
-DUCKDB = {"sha": "sha256({0})", "b64": "to_base64(unhex({0}))"}
+SPARK = {
+    "sha": "sha2({0}, 256)",
+    "b64": "base64(unhex({0}))",
+    "numbers": "explode(sequence(1, {0}))",
+    "lines": "array_join(transform(array_sort(collect_list(struct(j, line))), x -> x.line), chr(10))",
+}
+DUCKDB = {
+    "sha": "sha256({0})",
+    "b64": "to_base64(unhex({0}))",
+    "numbers": "unnest(generate_series(1, {0}))",
+    "lines": "string_agg(line, chr(10) ORDER BY j)",
+}
 
 # One line per rule, in catalogue order, from hash texts: h is 64 hex digits,
 # u the same in upper case, a is 44 mixed letters and digits, l 64 letters.
@@ -118,6 +128,43 @@ def files_sql(source: str, dialect: dict[str, str]) -> str:
     ) y"""
 
 
+def keys_sql(source: str, dialect: dict[str, str]) -> str:
+    """``keys(id, path, j, env_var_name, value, line)``: 1, 2, 5, 20 or 2,000 values to a file, and the text line that holds each.
+
+    By j modulo 10: 0 is not in the text, 2 has no quotes, 4 holds the value
+    before it, 5 has marks, 6 spans lines, 8 holds the value after it.
+    """
+    sha = dialect["sha"].format("concat('m', cast(id as string), '.', cast({0} as string))")
+    last, this, after = (f"substring({sha.format(f'(j + {x})')}, 1, 16)" for x in (-1, 0, 1))
+    kind = "CASE id % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'ts' ELSE 'yaml' END"
+    quote = "CASE j % 3 WHEN 0 THEN '\"' WHEN 1 THEN chr(39) ELSE CASE id % 3 WHEN 1 THEN '`' ELSE '\"' END END"
+    long = "CASE id % 3 WHEN 0 THEN '\"\"\"' ELSE '`' END"
+    many = "CASE WHEN id % 500 = 3 THEN 2000 ELSE CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 20 ELSE 5 END END"
+    return f"""
+    SELECT id, path, j, concat('KEY_', cast(j as string)) AS env_var_name, value,
+      CASE WHEN j % 10 = 0 THEN concat('k', cast(j as string), ' = none')
+           WHEN j % 10 = 2 THEN concat('k', cast(j as string), ': ', value)
+           WHEN j % 10 = 6 THEN concat('k', cast(j as string), ' = ', {long}, value, {long}, '; # and')
+           WHEN j % 7 = 3 AND id % 3 = 0 THEN concat('k', cast(j as string), ' = f', quote, value, quote, ' + ', value)
+           ELSE concat('k', cast(j as string), ' = ', quote, value, quote) END AS line
+    FROM (
+      SELECT id, path, j, {quote} AS quote,
+        CASE j % 10 WHEN 4 THEN concat({last}, 'x') WHEN 5 THEN concat({this}, '-+.$(') WHEN 6 THEN concat({this}, chr(10), 'more ', {this})
+          WHEN 8 THEN concat({after}, 'y') ELSE {this} END AS value
+      FROM (
+        SELECT id, concat('many/d', cast(id as string), '.', {kind}) AS path, {dialect["numbers"].format(many)} AS j
+        FROM (SELECT doc_id AS id FROM {source}) d
+      ) n
+    ) v"""
+
+
+def many_sql(source: str, keys: str, dialect: dict[str, str]) -> str:
+    """``many(path, text)``: documents with the lines of all their keys."""
+    return f"""
+    SELECT path, concat('import sys', chr(10), 'run = 1', chr(10), body, chr(10), planted, chr(10), 'end') AS text
+    FROM (SELECT id, path, {dialect["lines"]} AS planted FROM {keys} GROUP BY id, path) k JOIN (SELECT doc_id, text AS body FROM {source}) d ON d.doc_id = k.id"""
+
+
 def diffs_sql(source: str, dialect: dict[str, str]) -> str:
     """``commit_diffs``: a conversation is a commit and a turn one diff."""
     sha = dialect["sha"].format("concat('commit', cast(id as string))")
@@ -170,6 +217,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(files_sql("{documents}", SPARK), documents=docs).select("path", "text")
 
 
+def many(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files with up to 2,000 values each, and the plan that replaces them: ``path, text`` and ``path, line, env_var_name, value_full``."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    keys = spark.sql(keys_sql("{documents}", SPARK), documents=docs)
+    files = spark.sql(many_sql("{documents}", "{keys}", SPARK), documents=docs, keys=keys)
+    return files, keys.selectExpr("path", "j AS line", "env_var_name", "value AS value_full")
+
+
 def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, content``: the files as bytes, some with what a decoder has to cope with.
 

@@ -19,12 +19,13 @@ from ..functions.paths import (
     PART_RULE,
     STAGED_SKIP,
 )
+from ..functions.substitute import STYLES
 from ..functions.text import EXPOSURE_WORDS
 from ..operators import remediate
 from ..options import HARMLESS, SKIP_GLOBS
 from ..rules import RuleSet
 from .queries import USER_RULES
-from .corpus import DUCKDB, commits_sql, diffs_sql, files_sql, pages_sql
+from .corpus import DUCKDB, commits_sql, diffs_sql, files_sql, keys_sql, many_sql, pages_sql
 
 RULES = RuleSet.default().rules
 RUN = r"[\p{L}\p{N}_\-+=/.]"
@@ -319,6 +320,34 @@ def with_import(text: str) -> str:
 
 
 SWAPPED = f"CASE kind WHEN 'python' THEN {with_import(PY_SWAP)} WHEN 'javascript' THEN {JS_SWAP} ELSE {ANY_SWAP} END"
+
+
+def replaced_all(kind: str, text: str = "r.text", value: str = "p.value") -> str:
+    """One value replaced in a text, style by style, as SQL."""
+    call = {"python": "concat('os.getenv(\"', p.env_var_name, '\")')", "javascript": "concat('process.env.', p.env_var_name)"}[kind]
+    out, tests = text, []
+    for prefix, quote in STYLES[kind]:
+        out = f"replace({out}, concat({q(prefix + quote)}, {value}, {q(quote)}), {call})"
+        if not prefix and len(quote) == 1:
+            tests.append(f"contains({text}, concat({q(quote)}, {value}, {q(quote)}))")
+    return f"CASE WHEN {' OR '.join(tests)} THEN {out} ELSE replace({text}, {value}, {call}) END"
+
+
+# One value after another, each in the text that the last one left.
+MANY = f"""keys AS MATERIALIZED ({keys_sql("documents", DUCKDB)}),
+    many AS MATERIALIZED ({many_sql("documents", "keys", DUCKDB)}),
+    r(path, j, text, replaced, outcomes) USING KEY (path) AS (
+      SELECT path, cast(0 AS BIGINT), text, cast(0 AS BIGINT), '' FROM many
+      UNION ALL
+      SELECT r.path, p.j, CASE WHEN p.path LIKE '%.py' THEN {replaced_all("python")} WHEN p.path LIKE '%.ts' THEN {replaced_all("javascript")}
+          ELSE replace(r.text, p.value, concat('${{', p.env_var_name, '}}')) END,
+        r.replaced + CASE WHEN contains(r.text, p.value) THEN 1 ELSE 0 END,
+        concat(r.outcomes, CASE WHEN p.j = 1 THEN '' ELSE '; ' END, p.env_var_name, ': ',
+          CASE WHEN contains(r.text, p.value) THEN 'ok' ELSE {q(remediate.NOT_FOUND)} END)
+      FROM r JOIN keys p ON p.path = r.path AND p.j = r.j + 1
+    )"""
+IMPORTED = """CASE WHEN path LIKE '%.py' AND replaced > 0 AND NOT contains(text, 'import os') AND NOT contains(text, 'from os import')
+      THEN concat('import sys', chr(10), 'import os', substring(text, length('import sys') + 1)) ELSE text END"""
 AVAILABLE = """avail AS (SELECT name, CASE WHEN f IN ('0','1','2') THEN '' WHEN f IN ('3','4') THEN substring(h, 1, 6) ELSE h END AS value
     FROM (SELECT name, sha256(name) AS h, substring(sha256(name), 1, 1) AS f FROM required) v0 WHERE f <> 'f')"""
 CHECKED = f"""{PLAN}, required AS (SELECT DISTINCT env_var_name AS name FROM plan), {AVAILABLE},
@@ -499,7 +528,9 @@ def build() -> dict[str, str]:
     o["rem4_rewrite_python"] = f"WITH {FILES}, {KNOWN} SELECT path, {with_import(PY_SWAP)} AS text FROM known WHERE kind = 'python'"
     o["rem5_rewrite_js"] = f"WITH {FILES}, {KNOWN} SELECT path, {JS_SWAP} AS text FROM known"
     o["rem6_rewrite_generic"] = f"WITH {FILES}, {KNOWN} SELECT path, {ANY_SWAP} AS text FROM known"
-    o["rem7_rewrite_file"] = f"WITH {FILES}, {KNOWN} SELECT path, CASE WHEN length(text) % 5 = 4 THEN text ELSE {SWAPPED} END AS text_after, length(text) % 5 <> 4 AS success FROM known"
+    o["rem7_rewrite_file"] = f"""WITH {FILES}, {KNOWN} SELECT path, CASE WHEN length(text) % 5 = 4 THEN text ELSE {SWAPPED} END AS text_after,
+      length(text) % 5 <> 4 AS success, CASE WHEN length(text) % 5 = 4 THEN {q(remediate.NOT_FOUND)} END AS error FROM known"""
+    o["rem8_rewrite_many"] = f"WITH RECURSIVE {MANY} SELECT path, {IMPORTED} AS text_after, replaced, outcomes FROM r"
     swapped_line = f"CASE kind WHEN 'python' THEN {PY_SWAP} WHEN 'javascript' THEN {JS_SWAP} ELSE {ANY_SWAP} END".replace("text,", "content,")
     o["rem9_changed_lines"] = f"""WITH {FILES}, {KNOWN}, l AS ({lines_of('known', 'path, kind, v')})
       SELECT path, line, content AS before, after FROM (SELECT *, {swapped_line} AS after FROM l) x WHERE content <> after

@@ -864,12 +864,27 @@ def one_each(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rem7_rewrite_file(spark, sf):
-    return one_each(spark, sf).select("path", "text_after", F.col("results")[0]["success"].alias("success"))
+    first = F.col("results")[0]
+    return one_each(spark, sf).select("path", "text_after", first["success"].alias("success"), first["error"].alias("error"))
+
+
+def rewritten_many(spark: SparkSession, sf: str) -> DataFrame:
+    files, todo = corpus.many(spark, sf)
+    return remediate.rewrite_files(files, todo.withColumns({c: F.lit(0) for c in ("kind", "rule_ord", "column")}))
 
 
 @query
 def rem8_rewrite_many(spark, sf):
-    return remediate.rewrite_results(rewritten(spark, sf))
+    """Files of 1 to 2,000 values: the new text, how many were replaced, and what became of each value."""
+    told = F.transform("results", lambda r: F.concat(r["env_var_name"], F.lit(": "), F.coalesce(r["error"], F.lit("ok"))))
+    replaced = F.size(F.filter("results", lambda r: r["success"])).cast("long")
+    return rewritten_many(spark, sf).select("path", "text_after", replaced.alias("replaced"), F.array_join(told, "; ").alias("outcomes"))
+
+
+@query
+def rem9_joined_lines(spark, sf):
+    """Lines that differ where values span lines: joined lines have no ``after``."""
+    return remediate.changed_lines(rewritten_many(spark, sf))
 
 
 @query

@@ -12,6 +12,11 @@ bounded size, in three steps over the lengths from the longest down:
 3. the result is a list of slots: the pieces of length L numbered a to b go to
    the sequences s, s + 1, ... at offset o.
 
+Combinations of many short pieces can use up what the best fit would need later,
+so plans are made with combinations of up to three, two and one further pieces
+and with none, and the one with fewest sequences is taken: it never has more
+than best fit by falling length.
+
 Spark numbers the pieces of each length (numbers within a task plus what the
 tasks before it have) and every piece finds its slot by its number.
 
@@ -118,8 +123,8 @@ def available(left: np.ndarray, lengths: tuple[int, ...]) -> int:
     return min(int(left[x]) // lengths.count(x) for x in lengths)
 
 
-def exact(left: np.ndarray, longest: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that fill ``gap`` beside one piece ``longest``; long ones first.
+def exact(left: np.ndarray, longest: int, gap: int, most: int) -> tuple[int, ...] | None:
+    """Up to ``most`` (three at most) lengths that fill ``gap`` beside one piece ``longest``; long ones first.
 
     The counts are the hash of single lengths; a pair sum is looked up by its
     complement.
@@ -128,13 +133,17 @@ def exact(left: np.ndarray, longest: int, gap: int) -> tuple[int, ...] | None:
     def enough(*lengths: int) -> bool:
         return available(left, (longest, *lengths)) > 0
 
-    if left[gap] and enough(gap):
+    if most and left[gap] and enough(gap):
         return (gap,)
+    if most < 2:
+        return None
     there = np.flatnonzero(left[: gap + 1])
     there = there[there > 0][::-1]
     for a in there[2 * there >= gap].tolist():
         if a < gap and left[gap - a] and enough(a, gap - a):
             return (a, gap - a)
+    if most < 3:
+        return None
     for a in there[3 * there >= gap].tolist():
         rest = gap - a
         b = there[(there <= a) & (2 * there >= rest) & (there < rest)]
@@ -148,46 +157,55 @@ def plan(count: np.ndarray, capacity: int) -> tuple[list[tuple[int, int, int, in
     """Slots ``length, first number, sequence of that one, offset`` and the number of sequences.
 
     ``count[L]`` is the number of pieces of length L, for L from 1 to the
-    capacity.
+    capacity.  Of the plans by size of combination that with fewest sequences,
+    of equals that with the largest combinations.
     """
+    return min((combined(count, capacity, most) for most in (3, 2, 1, 0)), key=lambda made: made[1])
+
+
+def combined(count: np.ndarray, capacity: int, most: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """The plan whose exact combinations have up to ``most`` further pieces; the rest goes best-fit."""
     slots = Slots(count)
     if slots.left[capacity]:
         slots.fill((capacity,), int(slots.left[capacity]))
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, 0, -1) if most else ():
         while slots.left[length]:
-            found = exact(slots.left, length, capacity - length)
+            found = exact(slots.left, length, capacity - length, most)
             if found is None:
                 break
             lengths = (length, *found)
             slots.fill(lengths, available(slots.left, lengths))
     # Best fit of the rest, by groups of open sequences with equal gaps.
-    gaps: dict[int, list[tuple[int, int, int]]] = {}  # gap: first sequence, how many, offset
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap:
-            gaps.setdefault(gap, []).append((first, n, capacity - gap))
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: first sequence, how many
+
+    def place(length: int, gap: int, first: int, there: int) -> None:
+        """Fill the ``there`` sequences from ``first`` on, one after the other, while pieces last."""
+        offset, n = capacity - gap, int(slots.left[length])
+        each = gap // length
+        full = min(n // each, there)
+        over = n % each if full < there and n // each == full else 0
+        for first_one, m, k in ((first, full, each), (first + full, min(over, 1), over)):
+            if m:
+                for j in range(k):
+                    slots.put(length, first_one, offset + j * length, m)
+                if gap > k * length:
+                    gaps.setdefault(gap - k * length, []).append((first_one, m))
+        filled = full + min(over, 1)
+        if filled < there:
+            gaps.setdefault(gap, []).append((first + filled, there - filled))
 
     for length in range(capacity - 1, 0, -1):
-        while slots.left[length]:
+        while n := int(slots.left[length]):
             gap = min((g for g in gaps if g >= length), default=None)
-            n = int(slots.left[length])
             if gap is None:
-                each = capacity // length  # of one length, as many as fit in each new sequence
-                full, over = divmod(n, each)
-                for m, k in ((full, each), (min(over, 1), over)):
-                    if m:
-                        first = slots.sequences
-                        slots.fill((length,) * k, m)
-                        leave(capacity - k * length, first, m)
+                new = -(-n // (capacity // length))
+                slots.sequences += new
+                place(length, capacity, slots.sequences - new, new)
                 continue
-            first, there, offset = gaps[gap].pop()
+            first, there = gaps[gap].pop()
             if not gaps[gap]:
                 del gaps[gap]
-            m = min(n, there)
-            slots.put(length, first, offset, m)
-            leave(gap - length, first, m)
-            if m < there:
-                gaps.setdefault(gap, []).append((first + m, there - m, offset))
+            place(length, gap, first, there)
     return slots.rows, slots.sequences
 
 

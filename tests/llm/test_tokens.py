@@ -1,5 +1,8 @@
 """Id files, encoding and packing."""
 
+import bisect
+import functools
+import hashlib
 import io
 import random
 import zlib
@@ -9,9 +12,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from veilscan.llm import idplanes, packing, pieces, speculate
+from veilscan.llm import idplanes, packing, pieces, shingles, speculate
 from veilscan.llm.common import text_bytes
 
 from .conftest import ROWS
@@ -26,8 +31,13 @@ def texts(n=1500):
     return odd + ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 60))) for _ in range(n)]
 
 
+@functools.cache
+def loaded(path):
+    return Tokenizer.from_file(path)
+
+
 def library(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return loaded(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("make, path", [(pieces.word_encoder, WORD), (pieces.byte_encoder, BYTE), (speculate.speculative_encoder, WORD)])
@@ -59,6 +69,52 @@ def test_pair_test_equals_merging():
         assert flat[end - n : end].tolist() == merges.merged(w)
 
 
+def morse(power, letters):
+    """The Thue-Morse word of 2**power letters."""
+    word = letters[0]
+    other = letters[1]
+    for _ in range(power):
+        word, other = word + other, other + word
+    return word
+
+
+@pytest.mark.parametrize("make, path", [(pieces.word_encoder, WORD), (pieces.byte_encoder, BYTE), (speculate.speculative_encoder, WORD)])
+def test_words_that_collide_for_odd_bases(make, path):
+    words = [morse(k, letters) for k in (10, 11, 13) for letters in ("ab", "ba")]
+    encoder = make(path)
+    for batches in ([words], [[w] for w in words]):  # in one batch and across batches
+        for batch in batches:
+            ids, counts = encoder.encode(*text_bytes(pa.array(batch)))
+            ends = np.cumsum(counts)
+            for word, end, n in zip(batch, ends, counts, strict=True):
+                assert ids[end - n : end].tolist() == library(path, word)
+
+
+def test_such_words_are_not_alike():
+    data, starts = text_bytes(pa.array([morse(12, "ab"), morse(12, "ba")]))
+    one, two = shingles.shingle_hashes(data, starts)[0]
+    assert one != two
+
+
+def test_a_word_of_a_megabyte():
+    rnd = random.Random(5)
+    word = "".join(rnd.choice("etaoinshrdlu") for _ in range(1 << 20))
+    ids, _ = speculate.speculative_encoder(WORD).encode(*text_bytes(pa.array([word])))
+    assert ids.tolist() == library(WORD, word)
+
+
+def test_digests(docs, no_docs):
+    got = sorted(tuple(r) for r in speculate.digests(docs, WORD).collect() if r.doc_id is not None)
+    tokenizer, wanted = Tokenizer.from_file(WORD), []
+    for doc_id, text, *_ in ROWS:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        both = (" ".join(map(str, ids)), tokenizer.decode(ids, skip_special_tokens=False))
+        wanted.append((doc_id, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in both)))
+    assert got == sorted(w for w in wanted if w[0] is not None)
+    assert speculate.digests(docs, WORD).count() == len(ROWS)
+    assert speculate.digests(no_docs, WORD).count() == 0
+
+
 def test_decoding_equals_the_library(spark, docs):
     got = speculate.encoded(docs, WORD).collect()
     tokenizer = Tokenizer.from_file(WORD)
@@ -119,7 +175,27 @@ def test_plan_is_gapless_and_short(seed):
         assert fill[sequence] == offset
         fill[sequence] += length
     assert fill.max() <= 64 and fill.sum() == lengths.sum()
-    assert sequences <= max(-(-lengths.sum() // 64), (lengths > 32).sum()) * 1.02 + 2
+    assert sequences <= best_fit_decreasing(lengths.tolist(), 64)
+
+
+def best_fit_decreasing(lengths, capacity):
+    """How many sequences plain best fit by falling length needs."""
+    gaps, n = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        n += at == len(gaps)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - length)
+    return n
+
+
+@given(st.lists(st.integers(1, 20), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_no_plan_is_longer_than_best_fit(lengths):
+    count = np.bincount(np.array(lengths, int), minlength=21)
+    wanted = best_fit_decreasing(lengths, 20)
+    assert packing.combined(count, 20, 0)[1] == wanted
+    assert packing.plan(count, 20)[1] <= wanted
 
 
 def test_packing(docs, no_docs):

@@ -14,12 +14,16 @@ Words come from the tokenizer's own normaliser and splitter, only distinct ones
 are encoded, and everything is counted on whole texts.
 
 Edge cases: a null text is empty and has no ids; the strings of special tokens
-in a text are their ids, as in the library; repeated rows give equal rows.
+in a text are their ids, as in the library; repeated rows give equal rows; an
+empty table gives no rows; null doc_ids are kept; other columns are ignored; a
+word of n characters takes about n log n steps, so megabytes without a break are
+encoded in seconds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -66,7 +70,7 @@ class Merges:
         self.made_by: list[int] = made.tolist()
         self.inner = {t: i for t, i in self.vocab.items() if not t.endswith(self.ending)}
         self.final = {t.removesuffix(self.ending): i for t, i in self.vocab.items() if t.endswith(self.ending)}
-        self.longest = max(map(len, self.inner))
+        self.longest = max(map(len, [*self.inner, *self.final]))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of merging each pair, or NEVER."""
@@ -97,33 +101,40 @@ class Merges:
         out, at, n = [], 0, len(word)
         inner, final = self.inner, self.final
         while True:
-            rest = word[at:]
-            if (found := final.get(rest)) is not None:
+            if n - at <= self.longest and (found := final.get(word[at:])) is not None:
                 out.append(found)
                 return out
             size = min(n - at - 1, self.longest)
-            while (found := inner.get(rest[:size])) is None:
+            while (found := inner.get(word[at : at + size])) is None:
                 size -= 1
             out.append(found)
             at += size
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging, one step at a time: lowest rank first, leftmost of equals."""
+        """Exact merging: lowest rank first, leftmost of equals.
+
+        A heap of pairs over a linked list, so a word of n characters takes
+        n log n steps; pairs that are no more are passed over when they come up.
+        """
         ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.ending]]
-        rank_of, made_by, never = self.rank_of, self.made_by, int(NEVER)
-        ranks = [rank_of.get(p, never) for p in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == never:
-                break
-            at = ranks.index(best)
-            ids[at : at + 2] = [made_by[best]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank_of.get((ids[at - 1], ids[at]), never)
-            if at < len(ranks):
-                ranks[at] = rank_of.get((ids[at], ids[at + 1]), never)
-        return ids
+        n, rank_of, made_by = len(ids), self.rank_of, self.made_by
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, at) for at, p in enumerate(zip(ids, ids[1:], strict=False)) if (rank := rank_of.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            right = after[at]
+            if ids[at] < 0 or right == n or rank_of.get((ids[at], ids[right])) != rank:
+                continue
+            ids[at], ids[right] = made_by[rank], -1
+            after[at] = right = after[right]
+            if right < n:
+                before[right] = at
+                if (rank := rank_of.get((ids[at], ids[right]))) is not None:
+                    heapq.heappush(heap, (rank, at))
+            if (left := before[at]) >= 0 and (rank := rank_of.get((ids[left], ids[at]))) is not None:
+                heapq.heappush(heap, (rank, left))
+        return [i for i in ids if i >= 0]
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids of the words end to end, how many each has, and how many words were repaired."""

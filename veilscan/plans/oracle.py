@@ -531,6 +531,14 @@ def build() -> dict[str, str]:
     o["rem7_rewrite_file"] = f"""WITH {FILES}, {KNOWN} SELECT path, CASE WHEN length(text) % 5 = 4 THEN text ELSE {SWAPPED} END AS text_after,
       length(text) % 5 <> 4 AS success, CASE WHEN length(text) % 5 = 4 THEN {q(remediate.NOT_FOUND)} END AS error FROM known"""
     o["rem8_rewrite_many"] = f"WITH RECURSIVE {MANY} SELECT path, {IMPORTED} AS text_after, replaced, outcomes FROM r"
+    # A value over two lines makes one line of its two; every key else has one line before and after.
+    o["rem9_joined_lines"] = f"""WITH RECURSIVE {MANY},
+      put AS (SELECT k.path, k.j, string_split(k.line, chr(10)) AS before, 2 + n + k.j AS new, 2 + n + k.j + (k.j + 3) // 10 AS old
+        FROM keys k JOIN (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents) d ON d.doc_id = k.id),
+      made AS (SELECT path, unnest(string_split(text, chr(10))) AS after, generate_subscripts(string_split(text, chr(10)), 1) AS new FROM r)
+      SELECT path, cast(old AS INTEGER) AS line, before[1] AS before, after FROM put JOIN made USING (path, new) WHERE before[1] <> after
+      UNION ALL SELECT path, cast(old + 1 AS INTEGER), before[2], NULL FROM put WHERE len(before) = 2
+      UNION ALL SELECT path, 2, NULL, 'import os' FROM (SELECT path, text, {IMPORTED} AS imported FROM r) i WHERE imported <> text"""
     swapped_line = f"CASE kind WHEN 'python' THEN {PY_SWAP} WHEN 'javascript' THEN {JS_SWAP} ELSE {ANY_SWAP} END".replace("text,", "content,")
     o["rem9_changed_lines"] = f"""WITH {FILES}, {KNOWN}, l AS ({lines_of('known', 'path, kind, v')})
       SELECT path, line, content AS before, after FROM (SELECT *, {swapped_line} AS after FROM l) x WHERE content <> after

@@ -115,7 +115,8 @@ def blocks(nodes: DataFrame) -> DataFrame:
 
     size = F.shiftright(F.col("n") + ((1 << HEIGHT) - 1), HEIGHT)
     rows = rows.withColumn("paths", F.transform("members", path)).withColumn("top", F.element_at("levels", -1)[0]).withColumn("blocks", size)
-    return rows.select("tree", F.inline("paths"), "parent", F.col("blocks").alias("n"), "top")
+    # An outer generator, since for an inner one the optimizer adds a test of size that folds the levels anew for every member.
+    return rows.select("tree", F.inline_outer("paths"), "parent", F.col("blocks").alias("n"), "top")
 
 
 def hops(nodes: DataFrame) -> list[DataFrame]:

@@ -126,6 +126,26 @@ def test_hostile_lines_take_time_in_proportion(spark):
     assert time.perf_counter() - begin < 60
 
 
+def test_web_tokens_equal_python(spark):
+    rng = random.Random(11)
+    parts = ["eyJ", "eyJ", ".eyJ", ".eyJ", ".eyJ", "a", "a", "-", "_=", ".", "+", "/", " ", "\"", "é", "ey", "eyJeyJ", ".."]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 20))) for _ in range(5000)]
+    names = ["JWT_TOKEN", "SUPABASE_SERVICE_KEY"]
+    rows = detect.scan_patterns(spark.createDataFrame(list(enumerate(lines)), "id int, content string"), rules=RuleSet.default().only(names)).collect()
+    got = sorted((r["id"], r["rule"], r["token"], r["start"], r["end"]) for r in rows)
+    want = sorted((i, *m) for i, line in enumerate(lines) for m in rule_matches(line) if m[0] in names)
+    assert got == want and len(want) > 1000
+
+
+def test_lines_of_many_web_token_starts_take_time_in_proportion(spark):
+    """The first two lines have runs that begin a million tokens and hold none; the last line is one token."""
+    lines = ["eyJ" * 3_300_000 + ".eyJ ", "eyJ" * 1_000_000 + " .eyJ eyJa.eyJb", "eyJa." * 500_000 + " .eyJ"]
+    begin = time.perf_counter()
+    rows = detect.scan_files(spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(lines)], FILES)).where("rule = 'JWT_TOKEN'").collect()
+    assert sorted((r["path"], r["column"], len(r["token"])) for r in rows) == [("f1", 3_000_006, 9), ("f2", 0, 2_500_000)]
+    assert time.perf_counter() - begin < 60
+
+
 def test_random_lines_still_give_the_same_findings(spark):
     lines = random_lines(21, 300)
     df = spark.createDataFrame([(f"f{i}", line) for i, line in enumerate(lines)], FILES)

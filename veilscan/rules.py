@@ -166,11 +166,19 @@ SHORT_RULES = {
 SECRET_MARKS = (r"[:=]\s*['\"]", r"(?i)(?:secret|passw|pwd)")
 
 
+# A web token in two steps.  Its first part ends where its run of characters
+# ends, so all starts within one run meet the same dot, or none: the run is taken
+# whole from its first start, with what follows where that is a second part.
+# Only then does the text taken hold a dot.
+WEB_TOKEN = (r"eyJ[A-Za-z0-9_=-]++(?:\.eyJ[A-Za-z0-9_=-]++[A-Za-z0-9_.+/=-]*+)?+", r"\.")
+
 # Rules whose expression needs more than linear time on a hostile line, in two
 # steps that find the same: whole runs, and how a run must begin.  The last part
 # of such a rule takes all of its run, and a run that fails from its first start
 # fails from every later one.
 TWO_STEPS = {
+    "JWT_TOKEN": WEB_TOKEN,
+    "SUPABASE_SERVICE_KEY": WEB_TOKEN,
     "DATABASE_URL": (
         r"(?i)(postgres|postgresql|mysql|mongodb|redis)://[^\s'\"]*+",
         r"^[^:]*+://[^:]*+:.[^@]*+@.",

@@ -472,3 +472,54 @@ def test_no_shuffle_and_pruned_scan(spark, sf):
     plan = detect.scan_files(files, RuleSet.default())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "BatchEvalPython" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_findings_listed_in_chunks(spark):
+    """A file with most findings has several full chunks; lists are in order and whole."""
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 else f"f{i % 5}", rng.randint(1, 50), i, "R", 0.5, "***", "tok") for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, line int, column int, rule string, confidence double, snippet string, token string")
+    got = report.listed_by_file(df.repartition(4), 7).collect()
+    assert "tok" not in str(got) and len({(r["path"], r["chunk"]) for r in got}) == len(got)
+    for path in {r[0] for r in rows}:
+        parts = sorted((r["chunk"], r["entries"]) for r in got if r["path"] == path)
+        told = [(e["line"], e["column"]) for _, part in parts for e in part]
+        assert told == sorted((r[1], r[2]) for r in rows if r[0] == path)
+        assert [n for n, _ in parts] == list(range(len(parts))) and all(len(p) == 7 for _, p in parts[:-1])
+    assert report.listed_by_file(df.where("false"), 7).count() == 0
+    with pytest.raises(ValueError, match="room"):
+        report.listed_by_file(df, 0)
+
+
+def test_missing_names_are_listed(spark):
+    checked = spark.createDataFrame([(f"N{i:02}", i % 3 == 0) for i in range(20)], "name string, is_set boolean")
+    got = {r["chunk"]: r["names"] for r in report.missing_names(checked, 5).collect()}
+    want = [f"N{i:02}" for i in range(20) if i % 3]
+    assert got == {i: want[5 * i : 5 * i + 5] for i in range(3)}
+    assert report.missing_names(checked.where("is_set")).count() == 0
+
+
+def test_instructions_are_read_back(spark):
+    blocks = [
+        "A_KEY\n   at src/a:b.py:12\n   found by JWT_TOKEN\n   shown as value x at y:1",
+        "B_KEY\n   at a b.py:3\n   value p@ss word",
+        "B_KEY\n   at c.py:4\n   value <masked>",
+        "not a name\n   at c.py:4",
+        "C_KEY\n   at c.py:many",
+        "D_KEY\n   at c.py:99999999999",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(b,) for b in blocks], "instruction string")
+    got = {tuple(r) for r in remediate.parsed_instructions(df).select("env_var_name", "path", "line", "rule", "value_full", "problem").collect()}
+    ask = remediate.ASK
+    assert got == {
+        ("A_KEY", "src/a:b.py", 12, "JWT_TOKEN", ask, None),
+        ("B_KEY", "a b.py", 3, None, "p@ss word", remediate.TWICE),
+        ("B_KEY", "c.py", 4, None, ask, remediate.TWICE),
+        (None, "c.py", 4, None, ask, remediate.NO_NAME),
+        ("C_KEY", None, None, None, ask, remediate.NO_PLACE),
+        ("D_KEY", None, None, None, ask, remediate.NO_PLACE),
+        (None, None, None, None, ask, remediate.NO_NAME),
+    }
+    assert remediate.parsed_instructions(df).count() == len(blocks)

@@ -31,12 +31,16 @@ PART = [
     "jon4_env_check",
     "jon5_rescan_delta",
     "agg1_summary",
+    "agg4_listed_by_file",
+    "agg6_missing_names",
     "agg8_gate",
     "win1_env_ordinal",
     "ded2_commit_dedup",
     "set3_commit_range",
     "sca8_redact_snippet",
     "sca12_extract_literal",
+    "det1_pattern_scan",
+    "rem3_parse_instructions",
     "rem7_rewrite_file",
     "rem8_rewrite_many",
     "rem9_changed_lines",

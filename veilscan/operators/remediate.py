@@ -7,7 +7,7 @@ from functools import reduce
 from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hof import let
@@ -15,8 +15,8 @@ from ..functions.naming import env_var_name
 from ..functions.paths import file_kind
 from ..functions.substitute import IMPORT, JS_STYLES, PYTHON_STYLES, applied, changes, import_edit, substituted
 from ..functions.text import split_lines
-from ..session import checkpointed
-from .joins import fits_broadcast, semi_join
+from .joins import semi_join
+from .ordinals import ordinals
 from .report import fixable, without_tokens
 
 # Stand-ins for a value that must be read from the file.
@@ -29,38 +29,9 @@ ORDER = ["path", "line", "kind", "rule_ord", "column"]
 
 
 def env_ordinals(findings: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Add ``ordinal``: the 0-based place of a finding among those of its rule.
-
-    One rule may own a third of all findings, so its rows are not brought
-    together.  A range sort by (rule, order) cuts them over many partitions;
-    the sorted rows are written once, which fixes the partitions; then a row's
-    place is the count of the rule's rows in earlier partitions plus its place
-    in its own, both of which come from one small row per partition and rule.
-    """
-    keys = ["rule", *(order or ORDER)]
-    # Range bounds come from a sample, so the input is read twice; writing the
-    # findings first keeps the scan behind them from running twice.
-    rows = checkpointed(without_tokens(findings)).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows = checkpointed(rows.withColumn("seat", F.monotonically_increasing_id()))
-    part = F.shiftright("seat", 33)
-    rows = rows.withColumn("part", part)
-    blocks = rows.groupBy("rule", "part").agg(F.min("seat").alias("first_seat"), F.count("*").alias("n"))
-    before = checkpointed(blocks_before(blocks))
-    if fits_broadcast(before):
-        before = F.broadcast(before)
-    return (
-        rows.join(before, ["rule", "part"])
-        .withColumn("ordinal", (F.col("before") + F.col("seat") - F.col("first_seat")).cast("int"))
-        .drop("seat", "part", "before", "first_seat")
-    )
-
-
-def blocks_before(blocks: DataFrame) -> DataFrame:
-    """How many rows of the rule lie in earlier partitions: one row per
-    partition and rule goes in, however many findings there are."""
-    earlier = Window.partitionBy("rule").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    return blocks.select("rule", "part", "first_seat", before.alias("before"))
+    """Add ``ordinal``: the 0-based place of a finding among those of its rule."""
+    placed = ordinals(without_tokens(findings), "rule", order or ORDER)
+    return placed.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 def migration_plan(findings: DataFrame) -> DataFrame:
@@ -96,6 +67,45 @@ def instructions(plan: DataFrame) -> DataFrame:
     )
 
 
+# What is wrong with a block of a printed plan.
+NO_NAME, NO_PLACE, TWICE = "no variable name", "no file and line", "name planned twice"
+
+
+def parsed_instructions(blocks: DataFrame, text: str = "instruction") -> DataFrame:
+    """Printed instructions read back, one row for each block.
+
+    A block is what ``instructions`` prints, perhaps edited by hand: the name
+    first, then lines ``at FILE:LINE``, ``found by RULE`` and, where someone
+    filled one in, ``value VALUE``.  Returns ``env_var_name, path, line, rule,
+    value_full, problem``.  What a block does not tell is null, a missing or
+    masked value is ``ASK``, and ``problem`` says why a block cannot be used,
+    null if it can.  Null and empty blocks have no name.
+    """
+    block = F.coalesce(F.col(text), F.lit(""))
+
+    def told(pattern: str, group: int = 1) -> Column:
+        return F.nullif(F.regexp_extract(block, r"(?dm)" + pattern, group), F.lit(""))
+
+    place = r"^[ \t]*at (.+):(\d{1,9})[ \t]*$"
+    value = told(r"^[ \t]*value (.+)$")
+    rows = blocks.select(
+        F.nullif(F.regexp_extract(block, r"(?d)^\s*([A-Za-z_][A-Za-z0-9_]*)[ \t]*(?:\n|$)", 1), F.lit("")).alias("env_var_name"),
+        told(place).alias("path"),
+        told(place, 2).cast("int").alias("line"),
+        told(r"^[ \t]*found by (\S+)[ \t]*$").alias("rule"),
+        F.when(is_placeholder(value), ASK).otherwise(value).alias("value_full"),
+    )
+    counted = rows.where("env_var_name IS NOT NULL").groupBy("env_var_name").agg(F.count("*").alias("n"))
+    # The list of names planned twice may be as long as the plan; Spark's own limit decides how it is joined.
+    twice = counted.where("n > 1").select("env_var_name", F.lit(True).alias("twice"))
+    problem = (
+        F.when(F.col("env_var_name").isNull(), NO_NAME)
+        .when(F.col("path").isNull() | F.col("line").isNull(), NO_PLACE)
+        .when(F.col("twice"), TWICE)
+    )
+    return rows.join(twice, "env_var_name", "left").withColumn("problem", problem).drop("twice")
+
+
 def is_placeholder(value: Column) -> Column:
     v = F.coalesce(value, F.lit(""))
     return v.isin("", ASK, MASKED) | v.startswith("***")

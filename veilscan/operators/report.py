@@ -9,6 +9,7 @@ from ..functions.paths import staged_skip
 from ..functions.report import HIGH, MEDIUM, confidence_band
 from ..options import ScanOptions
 from ..session import checkpointed
+from .ordinals import chunks
 
 STORED_COLUMNS = ["path", "line", "column", "snippet", "rule", "confidence", "remediation", "found_at"]
 COMMIT_COLUMNS = ["commit_sha", "commit_author", "commit_date", "commit_message"]
@@ -96,8 +97,7 @@ def report_order(findings: DataFrame) -> DataFrame:
 
 def by_file(findings: DataFrame) -> DataFrame:
     """One row per file: how many findings, where they begin and end, the
-    strongest one.  ``report_order`` lists the findings of each file; gathering
-    them into one row would put a hot file into one task."""
+    strongest one.  ``listed_by_file`` lists the findings themselves."""
     return findings.groupBy("path").agg(
         F.count("*").alias("findings"),
         F.min("line").alias("first_line"),
@@ -108,6 +108,17 @@ def by_file(findings: DataFrame) -> DataFrame:
     )
 
 
+def listed_by_file(findings: DataFrame, most: int = 1000) -> DataFrame:
+    """``path, chunk, entries``: each file's findings by line, column and rule.
+
+    A file with more than ``most`` findings has several chunks, numbered from
+    0, so one file with most of all findings is many rows of many tasks.  Tokens
+    are left out; the snippet shows what may be printed.
+    """
+    told = [F.col(c) for c in ("line", "column", "rule", "confidence", "snippet")]
+    return chunks(without_tokens(findings), "path", ["line", "column", "rule"], F.struct(*told), most)
+
+
 def exit_status(findings: DataFrame) -> DataFrame:
     """0 if nothing was reported, else 1."""
     return findings.agg(
@@ -162,8 +173,7 @@ def env_union(plan: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def verify_summary(checked: DataFrame) -> DataFrame:
-    """One row: total, set and missing names.  ``checked.where(~is_set)`` lists
-    the missing ones."""
+    """One row: total, set and missing names.  ``missing_names`` lists the missing ones."""
     return checked.agg(
         F.count("*").alias("total"),
         F.count_if("is_set").alias("set_count"),
@@ -172,6 +182,12 @@ def verify_summary(checked: DataFrame) -> DataFrame:
     )
 
 
+def missing_names(checked: DataFrame, most: int = 1000) -> DataFrame:
+    """``chunk, names``: the names that are not set, sorted, at most ``most`` to a row; no row if all are set."""
+    missing = checked.where(~F.col("is_set")).select(F.lit(0).alias("all"), "name")
+    return chunks(missing, "all", ["name"], F.col("name"), most).select("chunk", F.col("entries").alias("names"))
+
+
 def fix_summary(plan: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """One row: migrations, files, variables, skipped findings."""
     rows = plan.select("path", "env_var_name", F.lit(False).alias("skipped"))

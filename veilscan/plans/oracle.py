@@ -471,9 +471,13 @@ def build() -> dict[str, str]:
       SELECT count(*) AS total, {BANDS}, count(DISTINCT path) AS files_affected FROM gaps"""
     o["agg4_group_by_file"] = f"""{FOUND} SELECT path, count(*) AS findings, min(line) AS first_line, max(line) AS last_line, round(max(confidence), 9) AS max_confidence,
       count(*) FILTER (confidence >= 0.8) AS high, count(*) FILTER (confidence >= 0.5 AND confidence < 0.8) AS medium FROM found GROUP BY path"""
+    o["agg4_listed_by_file"] = f"""{STORED}, placed AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, "column", rule) - 1 AS nth FROM found)
+      SELECT path, nth // 3 AS chunk, string_agg(concat(line, ':', "column", ' ', rule, ' ', snippet), chr(10) ORDER BY nth) AS listing FROM placed GROUP BY path, nth // 3"""
     o["agg5_fix_summary"] = f"""{PLAN} SELECT count(*) AS migrations, count(DISTINCT path) AS files, count(DISTINCT env_var_name) AS env_vars,
       (SELECT count(*) FROM found WHERE confidence < 0.55) AS skipped FROM plan"""
     o["agg6_verify_summary"] = f"{CHECKED} SELECT count(*) AS total, count(*) FILTER (is_set) AS set_count, count(*) FILTER (NOT is_set) AS missing, count(*) FILTER (NOT is_set) = 0 AS all_set FROM checked"
+    o["agg6_missing_names"] = f"""{CHECKED} SELECT nth // 10 AS chunk, string_agg(name, ' ' ORDER BY nth) AS names
+      FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS nth FROM checked WHERE NOT is_set) m GROUP BY nth // 10"""
     o["agg7_refactor_summary"] = f"WITH {FILES} SELECT count(*) FILTER (length(text) % 5 <> 4) AS succeeded, count(*) FILTER (length(text) % 5 = 4) AS failed FROM files"
     change = f"changed AS (SELECT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) AS change_id, path, text FROM files WHERE NOT ({staged}) AND text <> '')"
     o["agg8_gate"] = f"WITH {FILES}, {change}, {found_in('changed', excluded_exact(('reports', 'data')), keys='change_id')} {gate_of('found', 0.7)}"
@@ -524,7 +528,14 @@ def build() -> dict[str, str]:
 
     o["rem1_migration_plan"] = f"{PLAN} SELECT path, line, rule, env_var_name, snippet AS value_redacted, {q(remediate.ASK)} AS value_full, round(confidence, 9) AS confidence FROM plan"
     o["rem2_instructions"] = f"""{PLAN} SELECT path, line, "column", env_var_name, concat(env_var_name, chr(10), '   at ', path, ':', cast(line AS VARCHAR), chr(10), '   found by ', rule, chr(10), '   shown as ', snippet) AS instruction FROM plan"""
-    o["rem3_parse_instructions"] = f"{PLAN} SELECT env_var_name, path, line, {q(remediate.ASK)} AS value_full FROM plan"
+    # Blocks cut to their last two lines have neither name nor place, and no rule where a value was filled in.
+    o["rem3_parse_instructions"] = f"""{PLAN}, twice AS (SELECT * FROM plan UNION ALL SELECT * FROM plan WHERE line % 7 = 3),
+      told AS (SELECT CASE WHEN line % 13 <> 4 THEN env_var_name END AS env_var_name, line % 11 <> 2 AND line % 13 <> 4 AS placed, path, line,
+        CASE WHEN line % 13 <> 4 OR line % 3 <> 1 THEN rule END AS rule,
+        CASE WHEN line % 3 = 1 THEN concat('given: ', line) ELSE {q(remediate.ASK)} END AS value_full FROM twice)
+      SELECT env_var_name, CASE WHEN placed THEN path END AS path, CASE WHEN placed THEN line END AS line, rule, value_full,
+        CASE WHEN env_var_name IS NULL THEN {q(remediate.NO_NAME)} WHEN NOT placed THEN {q(remediate.NO_PLACE)}
+          WHEN line % 7 = 3 THEN {q(remediate.TWICE)} END AS problem FROM told"""
     o["rem4_rewrite_python"] = f"WITH {FILES}, {KNOWN} SELECT path, {with_import(PY_SWAP)} AS text FROM known WHERE kind = 'python'"
     o["rem5_rewrite_js"] = f"WITH {FILES}, {KNOWN} SELECT path, {JS_SWAP} AS text FROM known"
     o["rem6_rewrite_generic"] = f"WITH {FILES}, {KNOWN} SELECT path, {ANY_SWAP} AS text FROM known"

@@ -524,6 +524,13 @@ def agg4_group_by_file(spark, sf):
     return report.by_file(findings(spark, sf)).withColumn("max_confidence", r9("max_confidence"))
 
 
+@query
+def agg4_listed_by_file(spark, sf):
+    """The findings of each file in order, in chunks of three."""
+    shown = F.transform("entries", lambda e: F.format_string("%d:%d %s %s", e["line"], e["column"], e["rule"], e["snippet"]))
+    return report.listed_by_file(findings(spark, sf), 3).select("path", "chunk", F.array_join(shown, "\n").alias("listing"))
+
+
 @query
 def agg5_fix_summary(spark, sf):
     found = findings(spark, sf)
@@ -536,6 +543,14 @@ def agg6_verify_summary(spark, sf):
     return report.verify_summary(report.env_check(names, available(names)))
 
 
+@query
+def agg6_missing_names(spark, sf):
+    """The names that are not set, sorted, in chunks of ten."""
+    names = required(spark, sf)
+    missing = report.missing_names(report.env_check(names, available(names)), 10)
+    return missing.select("chunk", F.array_join("names", " ").alias("names"))
+
+
 @query
 def agg7_refactor_summary(spark, sf):
     return report.refactor_summary(remediate.rewrite_results(one_each(spark, sf)))
@@ -809,12 +824,20 @@ def rem2_instructions(spark, sf):
     return remediate.instructions(plan(spark, sf))
 
 
+def edited_instructions(spark: SparkSession, sf: str) -> DataFrame:
+    """The printed plan after someone filled in values, cut places and names, and repeated blocks."""
+    line, text = F.col("line"), F.col("instruction")
+    valued = F.when(line % 3 == 1, F.concat(text, F.lit("\n   value given: "), line.cast("string"))).otherwise(text)
+    unplaced = F.when(line % 11 == 2, F.regexp_replace(valued, r"\n +at [^\n]*", "")).otherwise(valued)
+    unnamed = F.when(line % 13 == 4, F.substring_index(unplaced, "\n", -2)).otherwise(unplaced)
+    blocks = remediate.instructions(plan(spark, sf)).select(line, unnamed.alias("instruction"))
+    return blocks.union(blocks.where("line % 7 = 3"))
+
+
 @query
 def rem3_parse_instructions(spark, sf):
-    """The plan read back as a table: names, places and values."""
-    path = scratch_path(spark, "plan")
-    plan(spark, sf).write.parquet(path)
-    return spark.read.parquet(path).select("env_var_name", "path", "line", "value_full")
+    """The printed plan read back: names, places, values, and what is wrong with a block."""
+    return remediate.parsed_instructions(edited_instructions(spark, sf))
 
 
 def known_secret(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,9 +9,10 @@ within the row, and block tops are the nodes of the next hop, until each tree
 has one.  What is stored are parent-linked node rows: ``tree, hop, at, parent,
 path``, where ``path`` has the siblings met on the way to the parent.
 
-*Climb*: a recursive SQL query starts at every leaf with its (possibly
-tampered) hash, joins the row of its node, appends the siblings, folds the hash
-with them, and goes on with the parent.  Above the first hop every block of
+*Climb*: a recursive SQL query starts at every leaf's node row, folds the
+(possibly tampered) hash with the siblings on it, and goes on with the parent,
+joining its node row, appending the siblings and folding again.  A leaf's row
+holds its hashes, so the first hop joins nothing.  Above it every block of
 leaves has its own copy of the rows, so no key has more than ``2**HEIGHT``
 climbers however large a tree is, and the rounds are the logarithm to the base
 of a block.
@@ -74,15 +75,15 @@ def joined(*parts: Column) -> Column:
     return F.unhex(F.sha2(F.lower(F.concat(*[F.hex(p) for p in parts])), 256))
 
 
-def blocks(nodes: DataFrame) -> DataFrame:
-    """``tree, pos, path, parent, n, top`` of ``nodes(tree, pos, n, hash)``.
+def blocks(nodes: DataFrame, keep: list[str]) -> DataFrame:
+    """``tree, pos, path, parent, n, top`` of ``nodes(tree, pos, n, hash)``, and the columns to ``keep``.
 
     ``path`` has an entry for each level up to the node's block top ``top``:
     a side and the sibling, or no sibling.  ``parent`` numbers the blocks of a
     tree, of which there are ``n``.
     """
     block = F.shiftright("pos", HEIGHT)
-    members = F.sort_array(F.collect_list(F.struct("pos", "hash")))
+    members = F.sort_array(F.collect_list(F.struct("pos", "hash", *[c for c in keep if c != "hash"])))
     rows = nodes.groupBy("tree", block.alias("parent"), "n").agg(members.alias("members"))
     tall = F.col("n") > (1 << HEIGHT)
 
@@ -111,7 +112,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
             return F.when(sibling.isNull(), F.lit(LONE).cast("binary")).otherwise(F.concat(side, sibling))
 
         below = F.slice("levels", F.lit(1), F.size("levels") - 1)
-        return F.struct(member["pos"].alias("pos"), F.transform(below, entry).alias("path"))
+        return F.struct(member["pos"].alias("pos"), F.transform(below, entry).alias("path"), *[member[c].alias(c) for c in keep])
 
     size = F.shiftright(F.col("n") + ((1 << HEIGHT) - 1), HEIGHT)
     rows = rows.withColumn("paths", F.transform("members", path)).withColumn("top", F.element_at("levels", -1)[0]).withColumn("blocks", size)
@@ -119,11 +120,14 @@ def blocks(nodes: DataFrame) -> DataFrame:
     return rows.select("tree", F.inline_outer("paths"), "parent", F.col("blocks").alias("n"), "top")
 
 
-def hops(nodes: DataFrame) -> list[DataFrame]:
-    """What ``blocks`` gives for the nodes of each hop; the last has one block per tree."""
+def hops(nodes: DataFrame, keep: list[str]) -> list[DataFrame]:
+    """What ``blocks`` gives for the nodes of each hop; the last has one block per tree.
+
+    Rows of the first hop also have the columns to ``keep``.
+    """
     largest, found = nodes.agg(F.max("n")).first()[0] or 0, []
     while True:
-        found.append(stored(blocks(nodes), "merkle"))
+        found.append(stored(blocks(nodes, [] if found else keep), "merkle"))
         largest = -(-largest >> HEIGHT)
         if largest <= 1:
             return found
@@ -146,24 +150,24 @@ def root_paths(subroots: DataFrame) -> DataFrame:
     rows = numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash"), ["name"])
     rows = stored(rows, "subroots")
     out = rows.select("name", "pos", F.array().cast("array<binary>").alias("path"))
-    for hop in hops(rows.select("tree", "pos", "n", "hash")):
+    for hop in hops(rows.select("tree", "pos", "n", "hash"), []):
         step = hop.select("pos", F.col("path").alias("more"), "parent", "top")
         out = out.drop("top").join(step, "pos").select("name", F.col("parent").alias("pos"), F.concat("path", "more").alias("path"), "top")
     return out.select(F.col("name").alias("tree"), "path", F.col("top").alias("root"))
 
 
+#: What the node row of a leaf keeps of it.
+LEAF = ["hash", "doc_id", "tampered"]
 LINK = ["tree", "hop", "at", "parent", "path", "subroot", "root"]
 
 
 def links(found: list[DataFrame]) -> DataFrame:
-    """The stored node rows: ``LINK``, the last hop of each tree leading to the root.
+    """The stored node rows above the first hop: ``LINK``, the last hop of each tree leading to the root.
 
-    ``at`` is the leaf's place in hop 0, and above it the number of the block
-    of leaves that climbs; so is ``parent``.
+    ``at`` is the number of the block of leaves that climbs; so is ``parent``.
     """
-    none = F.lit(None).cast("binary")
+    none, rows = F.lit(None).cast("binary"), []
     ended = F.when(F.col("n") == 1, F.col("top"))
-    rows = [found[0].select("tree", F.lit(0).alias("hop"), F.col("pos").alias("at"), "parent", "path", ended.alias("subroot"), none.alias("root"))]
     up = stored(root_paths(tops(found)), "root-paths")
     climbers = found[0].where(F.col("pos") % (1 << HEIGHT) == 0).select("tree", F.col("parent").alias("at"), F.col("parent").alias("pos"), "n")
     for hop in range(1, len(found) + 1):
@@ -179,18 +183,26 @@ def links(found: list[DataFrame]) -> DataFrame:
     return out
 
 
+def folded(path: str, start: str) -> str:
+    """SQL for the hash that ``start`` becomes on its way past the siblings of ``path``."""
+    left, right = (f"startswith(s, X'{side.encode().hex()}')" for side in (LEFT, RIGHT))
+    other = "hex(substr(s, 2))"
+    pair = f"CASE WHEN {left} THEN concat({other}, hex(h)) WHEN {right} THEN concat(hex(h), {other}) ELSE hex(h) END"
+    return f"aggregate({path}, {start}, (h, s) -> unhex(sha2(lower({pair}), 256)))"
+
+
+def siblings(path: str, before: str) -> str:
+    """SQL for the siblings of ``path`` after those of ``before``."""
+    return f"aggregate({path}, {before}, (p, s) -> concat(p, substr(s, 2)))"
+
+
 CLIMB = f"""
 WITH RECURSIVE climb AS (
-    SELECT doc_id, leaf, tree, pos AS at, 0 AS hop, tampered AS folded, X'' AS proof,
-        CAST(NULL AS BINARY) AS subroot, CAST(NULL AS BINARY) AS root
+    SELECT doc_id, hash AS leaf, tree, parent AS at, 1 AS hop, {folded("path", "tampered")} AS folded, {siblings("path", "X''")} AS proof,
+        CASE WHEN n = 1 THEN top END AS subroot, CAST(NULL AS BINARY) AS root
     FROM {{leaves}}
     UNION ALL
-    SELECT c.doc_id, c.leaf, c.tree, l.parent, c.hop + 1,
-        aggregate(l.path, c.folded, (h, s) -> unhex(sha2(lower(CASE
-            WHEN startswith(s, X'{LEFT.encode().hex()}') THEN concat(hex(substr(s, 2)), hex(h))
-            WHEN startswith(s, X'{RIGHT.encode().hex()}') THEN concat(hex(h), hex(substr(s, 2)))
-            ELSE hex(h) END), 256))),
-        concat(c.proof, aggregate(l.path, X'', (p, s) -> concat(p, substr(s, 2)))),
+    SELECT c.doc_id, c.leaf, c.tree, l.parent, c.hop + 1, {folded("l.path", "c.folded")}, {siblings("l.path", "c.proof")},
         coalesce(c.subroot, l.subroot), l.root
     FROM climb c JOIN {{links}} l ON l.tree = c.tree AND l.hop = c.hop AND l.at = c.at
 )
@@ -199,26 +211,26 @@ SELECT doc_id, leaf, subroot, root, proof, folded FROM climb WHERE root IS NOT N
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
-def climbed(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``doc_id, leaf, subroot, root, proof, folded`` of ``placed(doc_id, leaf, tampered, tree, pos)``.
+def climbed(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``doc_id, leaf, subroot, root, proof, folded`` of the node rows of leaves, which keep ``LEAF``.
 
     A round of the recursion has as many rows as there are leaves, so Spark's
     limit on rows is lifted while the result is written.
     """
-    spark = placed.sparkSession
+    spark = leaves.sparkSession
     limit = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
-        return stored(spark.sql(CLIMB, leaves=placed, links=nodes), "climbed")
+        return stored(spark.sql(CLIMB, leaves=leaves, links=nodes), "climbed")
     finally:
         spark.conf.set(ROW_LIMIT, limit)
 
 
 def proofs(docs: DataFrame) -> DataFrame:
     """Leaf, roots and proof of every row, and what its tampered leaf folds to, as digests."""
-    placed = stored(numbered(leaves(docs), ["doc_id", "leaf"]), "leaves")
-    found = hops(placed.select("tree", "pos", "n", F.col("leaf").alias("hash")))
-    return climbed(placed, stored(links(found), "links"))
+    placed = numbered(leaves(docs), ["doc_id", "leaf"]).withColumnRenamed("leaf", "hash")
+    found = hops(stored(placed.select("tree", "pos", "n", *LEAF), "leaves"), LEAF)
+    return climbed(found[0], stored(links(found), "links"))
 
 
 def verified(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,15 @@
 """WARC archives in which repeated payloads are revisit records.
 
-*Resolve*: headers (digest, size, page_id) are grouped by payload digest; of the
+*Resolve*: headers (digest, page_id) are grouped by payload digest; of the
 records with one payload, large enough, that with the largest page_id is the
-response and the others revisit it.  Only headers are shuffled for this, and
-counted per task first, so one payload may own a third of all records.
+response and the others revisit it.  Headers are counted per task first, so one
+payload may own a third of all records.
+
+*Bring to the payloads*: a bitmap of at most ``MARKS`` bits says which digests
+occur more than once.  Pages whose digest it does not hold are responses and
+stay where they are; the others, repeated or mistaken for such, meet their
+verdict by page_id and digest, so payloads are never shuffled by digest.  With
+far more repeated digests than bits all pages take that way.
 
 *Write*: each task writes one archive, a gzip member per record, with fresh
 headers; a revisit has no payload but names the response it refers to.
@@ -34,6 +40,8 @@ from .common import attempt_suffix, opened, stored
 
 #: Payloads below this size are always stored in full.
 LEAST_BYTES = 1000
+#: Bits of the map of repeated digests, 8 MB of them.
+MARKS = 1 << 26
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The archives' date unless one is given: results do not depend on the clock.
 DATE = "2000-01-01T00:00:00Z"
@@ -49,12 +57,29 @@ def resolved(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """``page_id, url, payload, digest, refers_to`` of ``pages(page_id, url, html)``; ``revisit`` says which."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     df = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    large = df.select("page_id", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= least)
-    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
-    first = first.where("copies > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
-    joined = df.join(first, "digest", "left")
-    revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("refers_to")))
+    headers = stored(df.where(F.octet_length("payload") >= least).select("page_id", "digest"), "headers")
+    first = headers.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
+    first = stored(first.where("copies > 1 AND refers_to IS NOT NULL").select("digest", "refers_to"), "repeated")
+    revisits = headers.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    revisits = revisits.select(F.col("page_id").alias("r_page_id"), F.col("digest").alias("r_digest"), "refers_to")
+    rows = with_marks(df, first)
+    single = rows.where("NOT marked").withColumn("refers_to", F.lit(None).cast(first.schema["refers_to"].dataType))
+    same = (F.col("digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_page_id"))
+    others = rows.where("marked").join(revisits, same, "left")
+    names = ["page_id", "url", "payload", "digest", "refers_to"]
+    return single.select(names).unionByName(others.select(names)).withColumn("revisit", F.col("refers_to").isNotNull())
+
+
+def with_marks(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """``rows`` with ``marked``: true for every digest among ``digests``, and by chance for few others."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(MARKS)) + 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = digests.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1
+    # A row per 32,768 bits that hold a mark: never more than MARKS / 32,768 of 4 KB.
+    joined = rows.withColumn("bucket", bucket).join(F.broadcast(marks), "bucket", "left")
+    return joined.withColumn("marked", F.coalesce(is_set, F.lit(False))).drop("bucket", "bits")
 
 
 def head(fields: list[tuple[str, str | None]]) -> bytes:

@@ -52,6 +52,32 @@ def test_archives_are_plain_gzip_members(spark, pages):
     assert raw.count(b"WARC/1.1\r\n") == len(PAGES) and raw.count(b"WARC-Type: revisit") == raw.count(b"WARC-Refers-To: ")
 
 
+def test_few_marks_give_the_same_records(spark, pages, monkeypatch):
+    def told():
+        return sorted(map(str, map(tuple, warc.resolved(pages).select("page_id", "url", "digest", "refers_to", "revisit").collect())))
+
+    want = told()
+    for bits in (1, 5):  # all pages take the way of repeated ones
+        monkeypatch.setattr(warc, "MARKS", bits)
+        assert told() == want
+
+
+def test_marks_hold_every_digest_and_few_others(spark):
+    every = spark.range(40_000).select(F.sha1(F.col("id").cast("string")).alias("digest"))
+    marked = spark.range(20_000).select(F.sha1(F.col("id").cast("string")).alias("digest"))
+    rows = warc.with_marks(every.withColumn("mine", F.col("digest").isin([])), marked)
+    assert rows.columns == ["digest", "mine", "marked"] and rows.count() == 40_000
+    assert rows.join(marked, "digest").where("marked").count() == 20_000
+    assert rows.where("marked").count() < 20_100
+    assert warc.with_marks(every, marked.limit(0)).where("marked").count() == 0
+
+
+def test_payloads_are_not_shuffled_by_digest(spark, pages):
+    plan = warc.resolved(pages)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and not [x for x in joins if "Join [digest" in x and "page_id" not in x]
+
+
 def test_hosts(spark, docs, no_docs):
     got = hosts.judged_by_host(docs).collect()
     assert len(got) == len(ROWS)
@@ -72,6 +98,51 @@ def test_host_rates_are_shrunk(spark):
     assert not got[200]  # a good document of a host that fails nearly always
 
 
+def rates_frame(spark, counts):
+    """Hosts of ``(n, failed)``: the documents fail the rule ``short`` and no other."""
+    rows = [(f"h{i}", k < failed) for i, (n, failed) in enumerate(counts) for k in range(n)]
+    df = spark.createDataFrame(rows, "source string, short boolean")
+    return df.withColumns({name: F.lit(False) for name in hosts.rules() if name != "short"})
+
+
+def test_prior_is_fitted_to_the_counts(spark):
+    """Rates drawn from a beta distribution: mean and strength are found again, whatever the sizes of hosts."""
+    rnd = random.Random(2)
+    for a, b in ((2.0, 6.0), (0.5, 0.5), (12.0, 28.0)):
+        counts = []
+        for _ in range(1500):
+            n, rate = rnd.choice((1, 2, 5, 20, 60)), rnd.betavariate(a, b)
+            counts.append((n, sum(rnd.random() < rate for _ in range(n))))
+        found = spark.createDataFrame(counts, "n long, short long").withColumns({name: F.lit(0) for name in hosts.rules() if name != "short"})
+        mean, like = hosts.priors(found)["short"]
+        assert abs(mean - a / (a + b)) < 0.03 and 0.8 < (1 / like - 1) / (a + b) < 1.25
+        assert hosts.priors(found)["symbols"] == (0.0, 0.0)
+
+
+def test_hosts_of_one_document_are_not_condemned_for_it(spark):
+    judged = rates_frame(spark, [(1, int(i % 3 == 0)) for i in range(300)])
+    rates = hosts.host_rates(judged).collect()
+    assert len(rates) == 300 and all(abs(r.short - 1 / 3) < 1e-9 for r in rates)
+    assert hosts.with_verdicts(judged, 0.5).where("bad_host").count() == 0
+    assert hosts.host_rates(judged.limit(0)).count() == 0
+
+
+def test_verdicts_reach_documents_of_every_host(spark, monkeypatch):
+    """The same rows, hosts joined by broadcast or not; documents without a host and rules that all hosts pass included."""
+    judged = rates_frame(spark, [(40, 39), (30, 1), (1, 1), (2, 0), (200, 190), (50, 0)])
+    judged = judged.unionByName(judged.limit(7).withColumn("source", F.lit(None).cast("string")))
+
+    def told():
+        return sorted(map(str, map(tuple, hosts.with_verdicts(judged, 0.5).select("source", "short", "bad_host").collect())))
+
+    want = told()
+    assert len(want) == judged.count() and sum("True)" in x and "h4" in x for x in want) == 200
+    assert not [x for x in want if "None" in x and x.endswith("True)")]
+    for share in (1, 3):
+        monkeypatch.setattr(hosts, "SHARE", share)
+        assert told() == want
+
+
 def test_repeated_words_equal_brute_force(spark):
     rnd = random.Random(6)
     rows = [(i, "".join(rnd.choice(["a ", "b ", "c\n", "\x1c", "é "]) for _ in range(rnd.randint(0, 60)))) for i in range(150)]

@@ -1,12 +1,20 @@
 """Quality rules whose verdict is given by host.
 
-Every document is measured by plain rules.  Failures are counted by host; the
-rate of a host is shrunk towards that of all hosts by a beta prior fitted to
-the rates of the hosts themselves, so that a host with few documents is not
-condemned for one of them; and the verdict on a host goes to its documents.
+Every document is measured by plain rules.  Failures of each rule are counted
+by host; a host's rate of failures is shrunk towards the rate of all documents
+by a beta prior, fitted for each rule to the counts of all hosts, so that a host
+with few documents is not condemned for them; a host of which any shrunk rate is
+too high is turned down, and that verdict goes to its documents.
+
+The prior's strength comes from the variance between hosts in excess of what
+chance gives hosts of their sizes.  Where nothing shows such an excess (every
+host has one document, say), hosts are taken to be alike.
 
 All of it is built-in column functions: measures are arrays within a row, so
 nothing is exploded, and only counts by host are shuffled before the join.
+Verdicts on hosts with more than one in ``SHARE`` of all documents, of which
+there are fewer than ``SHARE``, are broadcast; the documents of other hosts are
+joined by host, so no host of that join is hot.
 
 Equal word triples are found by a 64-bit hash within one document.
 
@@ -25,8 +33,10 @@ from .common import stored, whole_text
 SPACES = r"[\x20\x09-\x0D]+"
 NO_SPACE = r"[^\x20\x09-\x0D]"
 NO_SYMBOL = r"[^#*$%&|<>]+"
-#: A host is turned down when more than this share of its documents is thought to fail.
+#: A host is turned down when more than this share of its documents is thought to fail a rule.
 HOST_LIMIT = 0.5
+#: A host with more than one in so many documents is joined by broadcast.
+SHARE = 10_000
 
 
 def repeat_pairs(triples: Column) -> Column:
@@ -60,6 +70,7 @@ def measured(docs: DataFrame) -> DataFrame:
         {
             "n_words": F.size("words").cast("long"),
             "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_lines": F.size("lines").cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "second": F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))),
             "third": F.slice("words", F.lit(3), F.greatest(F.size("words"), F.lit(1))),
@@ -69,39 +80,81 @@ def measured(docs: DataFrame) -> DataFrame:
     numbered = F.transform(threes, lambda t, i: F.struct(F.xxhash64(t["words"], t["second"], t["third"]).alias("hash"), i.alias("at")))
     df = df.withColumn("triples", F.sort_array(F.slice(numbered, F.lit(1), F.greatest(F.size("words") - 2, F.lit(0)))))
     df = df.withColumn("repeats", repeat_pairs(F.col("triples")))
-    return df.select(
-        "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered(F.col("repeats"), 3).cast("long").alias("n_repeat_words")
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
-def rule_failed() -> Column:
-    """Whether any rule fails: the base ones, one symbol to ten words, or odd mean word lengths."""
-    symbols = 10 * F.col("n_symbols") > F.col("n_words")
-    odd = (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 10 * F.col("n_words"))
-    return F.col("base_failed") | symbols | odd
+    repeated = covered(F.col("repeats"), 3).cast("long").alias("n_repeat_words")
+    return df.select("doc_id", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeated)
+
+
+def rules() -> dict[str, Column]:
+    """The rules by name, each true for a document that fails it; the first two are the base ones."""
+    n = F.col("n_words")
+    return {
+        "short": n < 50,
+        "repeats": 100 * F.col("n_repeat_words") > 50 * n,
+        "symbols": 10 * F.col("n_symbols") > n,
+        "word_length": (F.col("word_chars") < 3 * n) | (F.col("word_chars") > 10 * n),
+        "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+    }
+
+
+BASE = ("short", "repeats")
+
+
+def priors(hosts: DataFrame) -> dict[str, tuple[float, float]]:
+    """The mean rate of each rule, and how alike two documents of one host are in it: 0 not at all, 1 wholly.
+
+    ``hosts`` has ``n`` and, by the name of a rule, how many of them fail it.
+    With ``r`` for the likeness a beta prior weighs ``1 / r - 1`` documents.
+    """
+    size = F.col("n").cast("double")
+    sums = [F.count(F.lit(1)).alias("k"), F.sum(size).alias("all"), F.sum(size * size).alias("squares")]
+    for name in rules():
+        sums += [F.sum(F.col(name).cast("double")).alias(name), F.sum(F.col(name) * F.col(name) / size).alias(f"{name}_pure")]
+    row, found = hosts.agg(*sums).first(), {}
+    for name in rules():
+        if not row.k:
+            found[name] = (0.0, 0.0)
+            continue
+        mean, pure = row[name] / row["all"], row[f"{name}_pure"]
+        like = 0.0
+        if 1 < row.k < row["all"]:
+            # Analysis of variance: between hosts, and within them.
+            between = (pure - row[name] * mean) / (row.k - 1)
+            within = (row[name] - pure) / (row["all"] - row.k)
+            typical = (row["all"] - row.squares / row["all"]) / (row.k - 1)
+            total = between + (typical - 1) * within
+            like = min(max((between - within) / total, 0.0), 1.0) if total > 0 else 0.0
+        found[name] = (mean, like)
+    return found
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """``source, n, failed, rate`` of each host, the rate shrunk by the fitted prior."""
+    """``source, n`` and the shrunk rate of each rule, of ``judged`` with ``source`` and the rules' verdicts."""
     hosts = judged.where("source IS NOT NULL").groupBy("source")
-    hosts = hosts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
-    raw = F.col("failed") / F.col("n")
-    mean, spread = hosts.agg(F.avg(raw), F.var_pop(raw)).first()
-    strength = mean * (1 - mean) / spread - 1 if spread else 1.0
-    strength = max(strength, 1.0)  # at least as much as one document
-    return hosts.withColumn("rate", (F.col("failed") + (mean or 0.0) * strength) / (F.col("n") + strength))
+    hosts = hosts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(name).cast("long")).alias(name) for name in rules()])
+    shrunk = {}
+    for name, (mean, like) in priors(hosts).items():
+        weight = F.col("n") * like / (1 + (F.col("n") - 1) * like)
+        shrunk[name] = mean + weight * (F.col(name) / F.col("n") - mean)
+    return hosts.withColumns(shrunk)
+
+
+def with_verdicts(judged: DataFrame, limit: float) -> DataFrame:
+    """``judged`` with ``bad_host``: whether the document's host was turned down; false without a host."""
+    bad = F.greatest(*[F.col(name) > limit for name in rules()])
+    verdicts = stored(host_rates(judged).select("source", "n", bad.alias("bad_host")), "verdicts")
+    total = verdicts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = verdicts.where(F.col("n") * SHARE > total).select("source", "bad_host")
+    rows = judged.join(F.broadcast(heavy), "source", "left")
+    settled = F.col("bad_host").isNotNull() | F.col("source").isNull()
+    light = verdicts.where((F.col("n") * SHARE <= total) & F.col("bad_host")).select("source", "bad_host")
+    open_rows = rows.where(~settled).drop("bad_host").join(light, "source", "left")
+    return rows.where(settled).unionByName(open_rows).withColumn("bad_host", F.coalesce("bad_host", F.lit(False)))
 
 
 def judged_by_host(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The measures of every document with ``base_failed`` and ``kept``."""
-    judged = measured(docs).withColumn("base_failed", base_failed()).withColumn("rule_failed", rule_failed())
-    judged = stored(judged, "measures")
-    bad = host_rates(judged).where(F.col("rate") > limit).select("source", F.lit(True).alias("bad_host"))
-    out = judged.join(bad, "source", "left")
-    kept = ~F.col("base_failed") & ~F.coalesce("bad_host", F.lit(False))
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*names, kept.alias("kept"))
+    judged = stored(measured(docs).withColumns(rules()), "measures")
+    base_failed = F.col(BASE[0]) | F.col(BASE[1])
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = with_verdicts(judged, limit)
+    return out.select(*names, base_failed.alias("base_failed"), (~base_failed & ~F.col("bad_host")).alias("kept"))

@@ -26,22 +26,36 @@ c AS (
 m AS (
     SELECT d.doc_id, d.source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
-        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+        len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
     FROM d LEFT JOIN c USING (rid)
 ),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-f AS (
-    SELECT *, base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS rule_failed FROM b
+u AS (
+    SELECT source, unnest(['short', 'repeats', 'symbols', 'word_length', 'dup_lines']) AS rule,
+        unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words,
+            word_chars < 3 * n_words OR word_chars > 10 * n_words, 10 * n_dup_lines > 3 * n_lines]) AS fails
+    FROM b WHERE source IS NOT NULL
 ),
-h AS (
-    SELECT source, count(*) AS n, count(*) FILTER (WHERE rule_failed) AS failed FROM f WHERE source IS NOT NULL GROUP BY source
+h AS (SELECT rule, source, count(*) AS n, count(*) FILTER (fails) AS failed FROM u GROUP BY rule, source),
+p AS (
+    SELECT rule, count(*) AS k, sum(n) AS total, sum(failed) / sum(n) AS mean,
+        (sum(failed * failed / n) - sum(failed) * sum(failed) / sum(n)) / nullif(count(*) - 1, 0) AS between_,
+        (sum(failed) - sum(failed * failed / n)) / nullif(sum(n) - count(*), 0) AS within_,
+        (sum(n) - sum(n * n) / sum(n)) / nullif(count(*) - 1, 0) AS typical
+    FROM h GROUP BY rule
 ),
-p AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS spread FROM h),
-k AS (SELECT mean, greatest(coalesce(mean * (1 - mean) / nullif(spread, 0) - 1, 1), 1) AS strength FROM p),
-v AS (SELECT source FROM h, k WHERE (failed + mean * strength) / (n + strength) > 0.5)
+g AS (
+    SELECT rule, mean, greatest(least(coalesce(CASE WHEN between_ + (typical - 1) * within_ > 0
+        THEN (between_ - within_) / (between_ + (typical - 1) * within_) END, 0), 1), 0) AS alike
+    FROM p
+),
+v AS (
+    SELECT DISTINCT source FROM h JOIN g USING (rule)
+    WHERE mean + n * alike / (1 + (n - 1) * alike) * (failed / n - mean) > 0.5
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM v)) AS kept
-FROM f
+FROM b
 """
 
 REVISITS = """

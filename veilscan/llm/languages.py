@@ -50,8 +50,11 @@ UNKNOWN = "und"
 TEXT_CHARS = 1 << 19
 #: Score limits are for texts of at least so many letters, as a power of 2: shorter ones score no better than noise.
 LEAST_SIZE = 6
-#: Rows that the limit of a language, and of a language and size, rests on at least.
-LEAST_ROWS, SIZE_ROWS = 50, 1000
+#: A limit learned from n rows counts for n / (n + this) of what is used: that of all languages against
+#: none at all, that of a language against that of all, that of a language and size against the language's.
+ROWS_OF_ALL, ROWS_OF_ONE = 50, 1000
+#: One labelled text in so many is kept from the prototypes that limits are learned with.
+BACK = 4
 #: The quantile of their scores that counts, and the part of it that is the limit.
 LOWEST, MARGIN = 0.001, 0.8
 #: Texts taken from Arrow at a time.
@@ -245,40 +248,52 @@ def size_class(column: str = "text") -> Column:
     return F.floor(F.log2(F.length(F.regexp_replace(column, r"\P{L}+", "")))).cast("int")
 
 
-def score_limits(docs: DataFrame, prototypes: dict[str, np.ndarray], sample: int = SAMPLE) -> DataFrame:
-    """``lang_pred, size, score_limit``: the score below which texts of at least ``2**LEAST_SIZE`` letters have no language.
+def held_back() -> Column:
+    """Texts that limits are learned from; equal texts are on one side."""
+    return F.pmod(F.xxhash64("text"), F.lit(BACK)) == 0
 
-    Labelled texts that are told rightly give the quantile ``LOWEST`` of their
-    scores; ``MARGIN`` of it is the limit of their language (size null) and,
-    where ``SIZE_ROWS`` of them are of one size, of that size.  A language with
-    fewer than ``SIZE_ROWS`` of them has at most the least limit of any language,
-    as so few say little of a quantile, and with fewer than ``LEAST_ROWS`` none.
+
+def score_limits(docs: DataFrame, sample: int = SAMPLE) -> dict[tuple[str | None, int | None], float]:
+    """The score below which a text of at least ``2**LEAST_SIZE`` letters has no language, by language and size.
+
+    Prototypes are learned from part of the labelled rows of ``docs``, and the
+    rest tells how well texts score that they were not made from.  Of those told
+    rightly the quantile ``LOWEST`` counts, for all rows, by language, and by
+    language and size.  Few rows say little of a quantile, so each is drawn
+    towards the coarser one by its number of rows, and that of all rows towards
+    zero; ``MARGIN`` of the outcome is the limit.  Keys with a None are the
+    coarser limits, for what has none of its own.
     """
-    rows = sampled(docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL"), sample)
+    labelled = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    prototypes = trained(labelled.where(~held_back()), sample)
+    rows = sampled(labelled.where(held_back()), sample)
     told = predicted(rows, prototypes, unknown=None).where(F.col("lang") == F.col("lang_pred"))
     told = told.select("lang_pred", size_class().alias("size"), "score").where(F.col("size") >= LEAST_SIZE)
     found = told.rollup("lang_pred", "size").agg(
         F.count("*").alias("n"), F.percentile_approx("score", LOWEST, 10_000).alias("low"), F.grouping_id().alias("over")
     )
-    enough = F.when(F.col("over") == 0, F.col("n") >= SIZE_ROWS).otherwise((F.col("over") == 1) & (F.col("n") >= LEAST_ROWS))
-    found = stored(found.where(enough).select("lang_pred", "size", "n", (F.col("low") * MARGIN).alias("score_limit")), "score-limits")
-    least = found.where("size IS NULL").agg(F.min("score_limit").alias("least"))
-    limit = F.when(F.col("n") >= SIZE_ROWS, F.col("score_limit")).otherwise(F.col("least"))
-    return found.crossJoin(F.broadcast(least)).select("lang_pred", "size", limit.alias("score_limit"))
+    # Languages times classes of size; the coarsest first.
+    limits: dict[tuple[str | None, int | None], float] = {(None, None): 0.0}
+    for row in sorted(found.collect(), key=lambda r: -r.over):
+        if row.low is not None:
+            coarser = limits[None if row["size"] is None else row.lang_pred, None]
+            trust = ROWS_OF_ALL if row.lang_pred is None else ROWS_OF_ONE
+            limits[row.lang_pred, row["size"]] = (row.n * row.low + trust * coarser) / (row.n + trust)
+    return {key: limit * MARGIN for key, limit in limits.items()}
 
 
-def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], limits: DataFrame) -> DataFrame:
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], limits: dict[tuple[str | None, int | None], float]) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, without texts that have no letters or score below their limit."""
     told = predicted(docs, prototypes, unknown=None).where("lang_pred IS NOT NULL")
     by_language: dict[str, dict[int, float]] = {}
-    for row in limits.collect():  # languages times classes of size
-        by_language.setdefault(row.lang_pred, {})[-1 if row.size is None else row.size] = row.score_limit
-    if not by_language:
-        return told
-    table = F.broadcast(told.sparkSession.createDataFrame([(k, v) for k, v in by_language.items()], "limit_lang string, limit_of map<int, double>"))
+    for (name, size_of), limit in limits.items():
+        if name is not None:
+            by_language.setdefault(name, {})[-1 if size_of is None else size_of] = limit
+    schema = "limit_lang string, limit_of map<int, double>"
+    table = F.broadcast(told.sparkSession.createDataFrame([*by_language.items()], schema))
     joined = told.join(table, F.col("lang_pred") == F.col("limit_lang"), "left")
     size = size_class()
-    limit = F.coalesce(F.col("limit_of")[size], F.col("limit_of")[F.lit(-1)])
+    limit = F.coalesce(F.col("limit_of")[size], F.col("limit_of")[F.lit(-1)], F.lit(limits[None, None]))
     return joined.where(~F.coalesce((size >= LEAST_SIZE) & (F.col("score") < limit), F.lit(False))).select(*told.columns)
 
 

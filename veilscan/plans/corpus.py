@@ -217,6 +217,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(files_sql("{documents}", SPARK), documents=docs).select("path", "text")
 
 
+def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream, whether the table is one file or a folder of part files."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    # A stream takes no path of a single file, but a pattern may stand for a file and for a folder alike.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
+
+
 def many(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files with up to 2,000 values each, and the plan that replaces them: ``path, text`` and ``path, line, env_var_name, value_full``."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")

@@ -943,8 +943,7 @@ def edited_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def str2_stream_gate(spark, sf):
     """The gate over a stream of files, a change per source."""
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    stream = corpus.documents_stream(spark, sf)
     arriving = spark.sql(corpus.files_sql("{documents}", corpus.SPARK), documents=stream).select(
         F.substring_index("path", "/", 2).alias("change_id"), "path", "text"
     )

@@ -29,3 +29,23 @@ def rows(df):
 def test_stream_gate_reads_a_folder_of_parts(spark, parts):
     found = rows(QUERIES["str2_stream_gate"](spark, parts))
     assert len(found) == 3 and found == rows(QUERIES["agg8_gate"](spark, parts))
+
+
+def test_ancestors_broadcast_nothing(spark, monkeypatch):
+    """A broadcast goes through the driver, once for every jump and round."""
+    plans, write = [], history.checkpointed
+
+    def watched(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(history, "checkpointed", watched)
+    link = F.when(F.col("id") == 0, F.array().cast("array<string>")).when(
+        F.col("id") % 10 == 7, F.array((F.col("id") - 1).cast("string"), (F.col("id") - 4).cast("string"))
+    ).otherwise(F.array((F.col("id") - 1).cast("string")))
+    commits = spark.range(60).select(F.col("id").cast("string").alias("sha"), link.alias("parents"))
+    found = history.commit_range(commits, "30", "59")
+    assert sorted(int(r.sha) for r in found.collect()) == list(range(31, 60))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]

@@ -158,6 +158,9 @@ def ancestors(commits: DataFrame, tips: dict[str, str]) -> DataFrame:
     jumps of 1, 2, 4, ... steps is built, and each round marks whole
     first-parent chains with it.  Only stepping over to the other parents of
     merges needs another round, so the rounds follow the nesting of branches.
+
+    Every join is by shuffle, whatever its size: a broadcast goes through the
+    driver, and some dozens of them, each as long as the history, add up.
     """
     spark = commits.sparkSession
     known = commits.select("sha", "parents")
@@ -170,26 +173,29 @@ def ancestors(commits: DataFrame, tips: dict[str, str]) -> DataFrame:
             raise ValueError("the parent links form a cycle")
         jumps.append(jump)
         onward = jump.select(F.col("sha").alias("to"), F.col("to").alias("next"))
-        jump = checkpointed(jump.join(onward, "to").select("sha", F.col("next").alias("to")))
+        jump = checkpointed(jump.join(onward.hint("merge"), "to").select("sha", F.col("next").alias("to")))
     others = known.where(F.size("parents") > 1).select(
         "sha", F.explode(F.expr("filter(parents, (x, i) -> i > 0)")).alias("to")
     )
+    others = others.hint("merge")
     fresh = spark.createDataFrame(list(tips.items()), "label string, sha string")
     reached = fresh.limit(0)
     while True:
         for step in reversed(jumps):
             both = F.array_compact(F.array("sha", "to"))
-            fresh = fresh.join(step, "sha", "left").select("label", F.explode(both).alias("sha")).distinct()
-        fresh = checkpointed(fresh.join(reached, ["label", "sha"], "left_anti"))
+            marked = fresh.join(step.hint("merge"), "sha", "left")
+            fresh = marked.select("label", F.explode(both).alias("sha")).distinct()
+        fresh = checkpointed(fresh.join(reached.hint("merge"), ["label", "sha"], "left_anti"))
         reached = checkpointed(reached.unionByName(fresh))
         fresh = checkpointed(
             fresh.join(others, "sha")
             .select("label", F.col("to").alias("sha"))
             .distinct()
-            .join(reached, ["label", "sha"], "left_anti")
+            .join(reached.hint("merge"), ["label", "sha"], "left_anti")
         )
         if fresh.isEmpty():
-            return reached.join(commits.select("sha"), "sha", "left_semi").select("label", "sha")
+            there = commits.select("sha").hint("merge")
+            return reached.join(there, "sha", "left_semi").select("label", "sha")
 
 
 def known_commits(commits: DataFrame, *names: str) -> None:
@@ -204,7 +210,7 @@ def commit_range(commits: DataFrame, start: str, end: str) -> DataFrame:
     known_commits(commits, start, end)
     reach = ancestors(commits, {"start": start, "end": end})
     before = reach.where(F.col("label") == "start").select("sha")
-    return reach.where(F.col("label") == "end").select("sha").join(before, "sha", "left_anti")
+    return reach.where(F.col("label") == "end").select("sha").join(before.hint("merge"), "sha", "left_anti")
 
 
 def scan_range(

@@ -1,8 +1,10 @@
 """Tables in several parts, and plans that must not gather at the driver."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veilscan.llm import boosting, private
 from veilscan.operators import history
 from veilscan.plans.queries import QUERIES
 
@@ -49,3 +51,31 @@ def test_ancestors_broadcast_nothing(spark, monkeypatch):
     assert sorted(int(r.sha) for r in found.collect()) == list(range(31, 60))
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_pii_trees_see_every_text(spark):
+    """All distinct texts count, by the driver's sums and by Spark's alike."""
+    def text(i):
+        return f"note {i} write u{i}@mail{i % 7}.org or call +1 ({200 + i % 700}) 555-{1000 + i} host 10.2.{i % 200}.7, code {i * 7919}"
+
+    docs = spark.createDataFrame([(text(i),) for i in range(300)] + [(text(0),)] * 50, "text string")
+    made = private.training_table(docs)
+    distinct = {text(i) for i in range(300)}
+    assert made.count() == sum(len(private.examples(t)) for t in distinct)
+    own = [([float(v) for v in e[0]], e[2]) for t in distinct for e in private.examples(t)]
+    rows = spark.createDataFrame([(*r, 1) for r in own], "x array<double>, label long, n long").repartition(3)
+    near, far = private.fitted(rows, 10**6), boosting.fit(np.array([r[0] for r in own]), np.array([float(r[1]) for r in own]))
+    x = np.array([r[0] for r in own])
+    assert np.allclose(near.margin(x), far.margin(x))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(private, "boosted", lambda cuts, start, sums: boosting.boosted(cuts, start, sums, rounds=3))
+        here, there = private.fitted(rows, 10**6), private.fitted(rows, 0)
+    assert np.allclose(here.margin(x), there.margin(x)) and len(there.trees) == 3
+
+
+def test_default_training_has_no_sample(spark, monkeypatch):
+    taken, table = [], private.training_table
+    monkeypatch.setattr(private, "training_table", lambda docs, sample=None: taken.append(sample) or table(docs, sample))
+    monkeypatch.setattr(private, "some_rows", lambda *a: pytest.fail("cut"))
+    private.trained(spark.createDataFrame([("a plain text",)], "text string"))
+    assert taken == [None]

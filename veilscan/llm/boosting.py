@@ -1,17 +1,23 @@
-"""Gradient boosted trees for two classes, on a table that fits in memory.
+"""Gradient boosted trees for two classes.
 
 Features are cut into at most ``BINS`` quantile bins; each tree is grown level
-by level on sums of gradients per bin.  Used by a task to score, and by the
-driver to fit on a sample of bounded size.
+by level on sums of gradients per bin, which are all that growing needs to see:
+``Held`` takes them over rows in memory, a Spark job over rows of any number.
+Gradients are rounded to whole multiples of ``1 / GRAIN`` first, so the sums are
+exact and neither their order nor the place where they are taken changes a tree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
 BINS = 32
+#: Values of a binned feature: quantiles 0, 1 / BINS, ..., 1.
+WIDTH = BINS + 1
+GRAIN = 2.0**24
 
 
 @dataclass(frozen=True)
@@ -23,11 +29,15 @@ class Tree:
     value: np.ndarray
     depth: int
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def place(self, x: np.ndarray, level: int) -> np.ndarray:
+        """Which of the 2**level nodes of a level each row reaches."""
         at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        for _ in range(self.depth):
+        for _ in range(level):
             at = 2 * at + 1 + (x[rows, self.feature[at]] > self.limit[at])
-        return self.value[at - (len(self.feature))]
+        return at - (2**level - 1)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.value[self.place(x, self.depth)]
 
 
 @dataclass(frozen=True)
@@ -43,54 +53,90 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def grow(binned: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, depth: int, shrink: float, rate: float) -> Tree:
+#: Sums of gradients and of their slopes, in units of 1 / GRAIN: of the trees so far, a tree
+#: grown to a level and that level, an array of 2 x features x nodes x WIDTH.
+Sums = Callable[[tuple[Tree, ...], Tree, int], np.ndarray]
+
+
+def cut_points(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where a feature is cut, from its distinct values in order and how often each occurs."""
+    if len(values) > BINS:
+        place = np.floor(np.linspace(0, 1, BINS + 1) * (counts.sum() - 1))
+        values = np.unique(values[np.searchsorted(np.cumsum(counts), place, side="right")])
+    return values[:-1]
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+
+
+class Held:
+    """``Sums`` over rows in memory; a row counts ``weight`` times."""
+
+    def __init__(self, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, start: float) -> None:
+        self.bins, self.label, self.weight = bins, label, weight
+        self.margin, self.seen = np.full(len(label), start), 0
+
+    def __call__(self, trees: tuple[Tree, ...], tree: Tree, level: int) -> np.ndarray:
+        for t in trees[self.seen :]:
+            self.margin = self.margin + t.predict(self.bins)
+        self.seen = len(trees)
+        p, n = sigmoid(self.margin), 2**level
+        grad, hess = (np.rint(v * GRAIN) * self.weight for v in (p - self.label, p * (1 - p)))
+        node, out = tree.place(self.bins, level) * WIDTH, np.empty((2, self.bins.shape[1], n * WIDTH))
+        for f in range(self.bins.shape[1]):
+            key = node + self.bins[:, f]
+            out[0, f], out[1, f] = np.bincount(key, grad, n * WIDTH), np.bincount(key, hess, n * WIDTH)
+        return out.reshape(2, -1, n, WIDTH)
+
+
+def grow(cuts: list[np.ndarray], trees: tuple[Tree, ...], sums: Sums, depth: int, shrink: float, rate: float) -> Tree:
+    """The next tree, its limits numbers of bins."""
     inner = 2**depth - 1
     feature, limit = np.zeros(inner, np.int64), np.full(inner, np.inf)
-    at = np.zeros(len(grad), np.int64)
     for level in range(depth):
         first, n = 2**level - 1, 2**level
+        level_g, level_h = sums(trees, Tree(feature, limit, np.zeros(inner + 1), depth), level) / GRAIN
         best = np.zeros(n)
-        local = at - first
+        # Without a split all rows of a node go left.
+        left = np.stack([level_g[0].sum(axis=1), level_h[0].sum(axis=1)])
+        total = left.copy()
         for f, edges in enumerate(cuts):
             if not len(edges):
                 continue
-            size = len(edges) + 1
-            key = local * size + binned[:, f]
-            g = np.bincount(key, grad, n * size).reshape(n, size).cumsum(axis=1)
-            h = np.bincount(key, hess, n * size).reshape(n, size).cumsum(axis=1)
+            g, h = (v[f, :, : len(edges) + 1].cumsum(axis=1) for v in (level_g, level_h))
             total_g, total_h = g[:, -1:], h[:, -1:]
             gain = g**2 / (h + shrink) + (total_g - g) ** 2 / (total_h - h + shrink) - total_g**2 / (total_h + shrink)
             k = gain[:, :-1].argmax(axis=1)
             found = gain[np.arange(n), k]
             better = np.flatnonzero(found > best + 1e-9)
             best[better] = found[better]
-            feature[first + better], limit[first + better] = f, edges[k[better]]
-        right = np.zeros(len(grad), bool)
-        for node in range(n):
-            rows = np.flatnonzero(local == node)
-            f = feature[first + node]
-            right[rows] = binned[rows, f] > np.searchsorted(cuts[f], limit[first + node])
-        at = 2 * at + 1 + right
-    leaf = at - inner
-    g, h = np.bincount(leaf, grad, inner + 1), np.bincount(leaf, hess, inner + 1)
+            feature[first + better], limit[first + better] = f, k[better]
+            left[:, better] = g[better, k[better]], h[better, k[better]]
+    g, h = np.stack([left, total - left], axis=2).reshape(2, inner + 1)
     return Tree(feature, limit, -rate * g / (h + shrink), depth)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, shrink: float = 1.0) -> Model:
-    """Boosted trees for labels 0 and 1."""
-    cuts = []
-    for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        if len(values) > BINS:
-            values = np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1), method="lower"))
-        cuts.append(values[:-1])
-    binned = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], axis=1)
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    start = float(np.log(share / (1 - share)))
-    margin, trees = np.full(len(y), start), []
+def first_margin(share: float) -> float:
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return float(np.log(share / (1 - share)))
+
+
+def boosted(cuts: list[np.ndarray], start: float, sums: Sums, rounds: int = 60, depth: int = 3, rate: float = 0.2, shrink: float = 1.0) -> Model:
+    """Boosted trees from sums alone."""
+    trees: tuple[Tree, ...] = ()
     for _ in range(rounds):
-        p = sigmoid(margin)
-        tree = grow(binned, cuts, p - y, p * (1 - p), depth, shrink, rate)
-        margin = margin + tree.predict(x)
-        trees.append(tree)
-    return Model(start, tuple(trees))
+        trees += (grow(cuts, trees, sums, depth, shrink, rate),)
+
+    def of_values(t: Tree) -> Tree:
+        limit = [cuts[f][int(k)] if np.isfinite(k) else np.inf for f, k in zip(t.feature, t.limit, strict=True)]
+        return Tree(t.feature, np.array(limit), t.value, t.depth)
+
+    return Model(start, tuple(map(of_values, trees)))
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, shrink: float = 1.0) -> Model:
+    """Boosted trees for labels 0 and 1 of rows in memory."""
+    cuts = [cut_points(*np.unique(x[:, f], return_counts=True)) for f in range(x.shape[1])]
+    start = first_margin(float(y.mean()))
+    return boosted(cuts, start, Held(binned(x, cuts), y, np.ones(len(y)), start), rounds, depth, rate, shrink)

@@ -17,9 +17,11 @@ the form check of their kind (``likely``).  Proposals that pass it may be what
 the plain rules miss: they are neither positives nor negatives.  Beside those of
 the corpus, ``INVENTED`` made-up spans of each kind are rewritten and broken in
 the same way, so that every kind has examples in any table.  Two thirds of the
-made-up spans and of a bounded sample of distinct texts (``SAMPLE``) fit the
-trees; on the rest a threshold per kind is set where, of the proposals beyond
-it, ``PRECISION`` are right.
+made-up spans and of all distinct texts fit the trees; on the rest a threshold
+per kind is set where, of the proposals beyond it, ``PRECISION`` are right.
+Every example counts: equal ones are a row with their number, and trees and
+thresholds need no more than sums over these rows.  Up to ``HELD`` rows the
+driver takes the sums itself, beyond that Spark jobs take the same ones.
 
 Every text is searched whole, with expressions that need time in proportion to
 its length.
@@ -42,15 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .boosting import Model, fit, sigmoid
+from ..session import checkpointed
+from .boosting import WIDTH, Held, Model, Tree, binned, boosted, cut_points, first_margin, sigmoid
 from .common import whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct texts that training looks at, about; chosen by a hash.
-SAMPLE = 40_000
-#: Rows of training kept on the driver, at most.
-ROWS = 60_000
+#: Distinct rows of binned examples up to which the driver takes the sums; beyond, Spark does.
+HELD = 60_000
 PRECISION = 0.98
+#: Steps of the margin in which thresholds are set, to a unit.
+STEPS = 256
 #: Made-up spans of each kind to learn from, whatever the table.
 INVENTED = 500
 
@@ -375,18 +378,18 @@ class Chooser:
         return score >= np.array(self.limits)[kinds], score
 
 
-def calibrated(score: np.ndarray, label: np.ndarray) -> float:
-    """The lowest score from which on ``PRECISION`` of the examples are right; beyond 1 if there is none."""
+def calibrated(score: np.ndarray, right: np.ndarray, number: np.ndarray) -> float:
+    """The lowest score from which on ``PRECISION`` of the examples are right; beyond 1 if there is none.
+
+    ``right`` of the ``number`` examples at each score are right; no score comes twice.
+    """
     order = np.argsort(-score, kind="stable")
-    right = np.cumsum(label[order]) / np.arange(1, len(order) + 1)
-    # A threshold may not cut through equal scores.
-    whole = np.append(score[order][1:] != score[order][:-1], True)
-    good = np.flatnonzero((right >= PRECISION) & whole)
+    good = np.flatnonzero(np.cumsum(right[order]) >= PRECISION * np.cumsum(number[order]))
     return max(float(score[order][good[-1]]), 0.5) if len(good) else 2.0
 
 
-def training_rows(docs: DataFrame, sample: int, rows: int) -> list[Row]:
-    """At most ``rows`` examples (``x, kind, label, fold``) of about ``sample`` distinct texts of ``docs(text)``."""
+def training_table(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """The examples (``digest, number, x, kind, label, fold``) of all distinct texts of ``docs(text)``, or of about ``sample``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -408,26 +411,126 @@ def training_rows(docs: DataFrame, sample: int, rows: int) -> list[Row]:
                     )
 
     texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("digest"))
-    n = texts.select("digest").distinct().count()
-    if not n:
-        return []
-    draw = F.pmod("digest", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    made = texts.where(draw < sample / n).mapInArrow(run, "digest long, number long, x array<double>, kind long, label long, fold long")
-    # Copies of a text in several tasks give equal rows; the order has nothing to do with what a row says.
-    return made.distinct().orderBy(F.xxhash64("digest", "number"), "digest", "number").limit(rows).collect()
-
-
-def trained(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> Chooser:
-    """Fit on a sample of ``docs(text)`` of about ``sample`` distinct texts and at most ``rows`` examples, and on made-up spans."""
-    found = [(r.x, r.kind, r.label, r.fold) for r in training_rows(docs, sample, rows)]
-    found += [(*e, i // len(KINDS) % 3) for i, text in enumerate(invented()) for e in examples(text)]
-    x = np.array([r[0] for r in found])
-    kind, label, fold = (np.array([r[c] for r in found]) for c in (1, 2, 3))
-    own = fold > 0
-    model = fit(x[own], label[own].astype(float))
-    score = sigmoid(model.margin(x))
-    limits = tuple(calibrated(score[~own & (kind == k)], label[~own & (kind == k)]) for k in range(len(KINDS)))
-    return Chooser(model, limits)
+    if sample is not None:
+        n = texts.select("digest").distinct().count()
+        draw = F.pmod("digest", F.lit(1 << 30)) / F.lit(float(1 << 30))
+        texts = texts.where(draw < sample / max(n, 1))
+    made = texts.mapInArrow(run, "digest long, number long, x array<double>, kind long, label long, fold long")
+    # Copies of a text in several tasks give equal rows.
+    return made.distinct()
+
+
+def some_rows(made: DataFrame, rows: int) -> DataFrame:
+    # The order has nothing to do with what a row says.
+    return made.orderBy(F.xxhash64("digest", "number"), "digest", "number").limit(rows)
+
+
+def training_rows(docs: DataFrame, sample: int, rows: int) -> list[Row]:
+    """At most ``rows`` examples of about ``sample`` distinct texts, to look at."""
+    return some_rows(training_table(docs, sample), rows).collect()
+
+
+def invented_rows() -> pa.Table:
+    made = [(*e, i // len(KINDS) % 3) for i, text in enumerate(invented()) for e in examples(text)]
+    x = pa.array([m[0] for m in made], pa.list_(pa.float64()))
+    return pa.table({"x": x} | {c: pa.array([m[k] for m in made], pa.int64()) for k, c in ((1, "kind"), (2, "label"), (3, "fold"))})
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of equal length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def bin_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of bins, a byte each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def spread_sums(rows: DataFrame, start: float):
+    """``Sums`` over rows ``bins, label, n`` of any number, by a job each; the driver gets one row per feature, node and bin."""
+
+    def sums(trees: tuple[Tree, ...], tree: Tree, level: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in batches:
+                if batch.num_rows:
+                    label, n = (batch[c].to_numpy().astype(float) for c in ("label", "n"))
+                    total = total + Held(bin_rows(batch["bins"]), label, n, start)(trees, tree, level)
+            if np.ndim(total):
+                g, h = total.reshape(2, -1)
+                some = np.flatnonzero((g != 0) | (h != 0))
+                yield pa.record_batch({"place": pa.array(some, pa.int64()), "g": pa.array(g[some]), "h": pa.array(h[some])})
+
+        # Whole numbers below 2**53: their sums are the same in any order.
+        made = rows.mapInArrow(run, "place long, g double, h double").groupBy("place").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        out = np.zeros((2, len(FEATURES) * 2**level * WIDTH))
+        out[:, made["place"].to_numpy()] = made["g"].to_numpy(), made["h"].to_numpy()
+        return out.reshape(2, len(FEATURES), 2**level, WIDTH)
+
+    return sums
+
+
+FEATURES = range(len(features("0", (0, 1, 0))))
+
+
+def fitted(own: DataFrame, held: int) -> Model:
+    """Trees for the examples ``x, label, n``."""
+    # All features are whole numbers of bounded size, so their values are few.
+    values = own.select(F.posexplode("x").alias("f", "v"), "n").groupBy("f", "v").agg(F.sum("n").alias("n")).toArrow()
+    f, v, n = (values[c].to_numpy() for c in ("f", "v", "n"))
+    cuts = []
+    for k in FEATURES:
+        order = np.argsort(v[f == k])
+        cuts.append(cut_points(v[f == k][order], n[f == k][order]))
+    share = own.agg(F.sum(F.col("n") * F.col("label")) / F.sum("n")).first()[0]
+    start = first_margin(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = pa.array([row.tobytes() for row in binned(matrix(batch["x"]), cuts)], pa.binary())
+                yield pa.record_batch({"bins": bins, "label": batch["label"], "n": batch["n"]})
+
+    rows = own.select("x", "label", "n").mapInArrow(run, "bins binary, label long, n long")
+    rows = checkpointed(rows.groupBy("bins", "label").agg(F.sum("n").alias("n")))
+    if rows.count() > held:
+        return boosted(cuts, start, spread_sums(rows, start))
+    all_rows = rows.toArrow()
+    label, n = (all_rows[c].to_numpy().astype(float) for c in ("label", "n"))
+    return boosted(cuts, start, Held(bin_rows(all_rows["bins"]), label, n, start))
+
+
+def limits_of(model: Model, rest: DataFrame) -> tuple[float, ...]:
+    """A threshold for each kind from the examples ``x, kind, label, n``, counted by steps of the margin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                margin = np.clip(model.margin(matrix(batch["x"])), -40, 40)
+                step = pa.array(np.floor(margin * STEPS).astype(np.int64))
+                yield pa.record_batch({"kind": batch["kind"], "step": step, "label": batch["label"], "n": batch["n"]})
+
+    steps = rest.select("x", "kind", "label", "n").mapInArrow(run, "kind long, step long, label long, n long")
+    right = F.sum(F.col("n") * F.col("label")).alias("right")
+    told = steps.groupBy("kind", "step").agg(right, F.sum("n").alias("n")).toArrow()
+    kind, step, right, n = (told[c].to_numpy() for c in ("kind", "step", "right", "n"))
+    score = sigmoid(step / STEPS)
+    return tuple(calibrated(score[kind == k], right[kind == k], n[kind == k]) for k in range(len(KINDS)))
+
+
+def trained(docs: DataFrame, sample: int | None = None, rows: int | None = None, held: int = HELD) -> Chooser:
+    """Fit on the examples of all distinct texts of ``docs(text)`` and on made-up spans.
+
+    A caller may ask for about ``sample`` texts or at most ``rows`` examples.
+    """
+    made = training_table(docs, sample)
+    if rows is not None:
+        made = some_rows(made, rows)
+    made = made.select("x", "kind", "label", "fold").unionByName(docs.sparkSession.createDataFrame(invented_rows()))
+    # Equal examples are one row, so only different ones are kept.
+    made = checkpointed(made.groupBy("x", "kind", "label", "fold").agg(F.count("*").alias("n")))
+    model = fitted(made.where("fold > 0"), held)
+    return Chooser(model, limits_of(model, made.where("fold = 0")))
 
 
 def spans_of(texts: list[str], chooser: Chooser) -> list[tuple[list[Span], list[Span]]]:

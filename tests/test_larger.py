@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import boosting, private
 from veilscan.operators import history
+from veilscan.plans import queries
 from veilscan.plans.queries import QUERIES
 
 
@@ -79,3 +80,20 @@ def test_default_training_has_no_sample(spark, monkeypatch):
     monkeypatch.setattr(private, "some_rows", lambda *a: pytest.fail("cut"))
     private.trained(spark.createDataFrame([("a plain text",)], "text string"))
     assert taken == [None]
+
+
+@pytest.mark.parametrize("name", ["snk3_migration_log"])
+def test_findings_are_scanned_once(spark, monkeypatch, name):
+    scanned = spark.sparkContext.accumulator(0)
+    schema = "path string, line int, column int, kind int, rule_ord int, rule string, snippet string, masked_snippet string, token string, confidence double"
+
+    def finding(i):
+        scanned.add(1)
+        return f"f{i}", 1, 0, 1, 7, "GITHUB_PAT", "x", "***", "t", 0.5 if i % 2 else 0.99
+
+    def findings(spark, sf):
+        return spark.createDataFrame(spark.sparkContext.parallelize(range(10), 2).map(finding), schema)
+
+    monkeypatch.setattr(queries, "findings", findings)
+    row = QUERIES[name](spark, "").first()
+    assert row["migrations"] == 10 and scanned.value == 10

@@ -26,6 +26,7 @@ NOT_FOUND = "value not found in the file"
 NO_FILE = "no such file"
 
 ORDER = ["path", "line", "kind", "rule_ord", "column"]
+PLAN_NEEDS = ["path", "line", "column", "kind", "rule_ord", "rule", "snippet", "confidence"]
 
 
 def env_ordinals(findings: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -36,8 +37,7 @@ def env_ordinals(findings: DataFrame, order: list[str] | None = None) -> DataFra
 
 def migration_plan(findings: DataFrame) -> DataFrame:
     """Fixable findings with a variable name each; no secret value is kept."""
-    need = ["path", "line", "column", "kind", "rule_ord", "rule", "snippet", "confidence"]
-    numbered = env_ordinals(without_tokens(fixable(findings)).select(*need))
+    numbered = env_ordinals(without_tokens(fixable(findings)).select(*PLAN_NEEDS))
     return numbered.select(
         "path",
         "line",

@@ -43,6 +43,11 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     return detect.scan_files(corpus.files(spark, sf))
 
 
+def scanned_once(found: DataFrame) -> DataFrame:
+    """What a migration plan needs of the findings, written once for all that read it; no token is kept."""
+    return checkpointed(report.without_tokens(found).select(*remediate.PLAN_NEEDS))
+
+
 def shown(found: DataFrame, *extra: str) -> DataFrame:
     return found.select(*SHOWN, *extra, r9("confidence").alias("confidence"))
 
@@ -204,7 +209,7 @@ def overrides(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def snk3_migration_log(spark, sf):
     path = scratch_path(spark, "migrations")
-    found = report.at_least(findings(spark, sf), 0.95)
+    found = scanned_once(report.at_least(findings(spark, sf), 0.95))
     store.log_migrations(remediate.migration_plan(found), path, "2024-01-02 00:00:00")
     store.log_migrations(remediate.migration_plan(found), path, "2024-03-04 00:00:00")
     out = store.log_stamps(store.migration_log(spark, path))

@@ -82,7 +82,7 @@ def test_default_training_has_no_sample(spark, monkeypatch):
     assert taken == [None]
 
 
-@pytest.mark.parametrize("name", ["snk3_migration_log"])
+@pytest.mark.parametrize("name", ["snk3_migration_log", "agg5_fix_summary"])
 def test_findings_are_scanned_once(spark, monkeypatch, name):
     scanned = spark.sparkContext.accumulator(0)
     schema = "path string, line int, column int, kind int, rule_ord int, rule string, snippet string, masked_snippet string, token string, confidence double"

@@ -538,8 +538,8 @@ def agg4_listed_by_file(spark, sf):
 
 @query
 def agg5_fix_summary(spark, sf):
-    found = findings(spark, sf)
-    return report.fix_summary(plan(spark, sf), found.where("confidence < 0.55"))
+    found = scanned_once(findings(spark, sf))
+    return report.fix_summary(remediate.migration_plan(found), found.where("confidence < 0.55"))
 
 
 @query

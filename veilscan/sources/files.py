@@ -29,6 +29,17 @@ def file_system(path: str):
     return pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
 
 
+def dealt(paths: DataFrame, most: int | None = None) -> DataFrame:
+    """Paths spread by hash over a fixed number of tasks, ``most`` at most.
+
+    Paths are short, and what is done with them is not: without a number Spark
+    would join their partitions to few by size.
+    """
+    spark = paths.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return paths.repartition(tasks if most is None else max(1, min(tasks, most)), "path")
+
+
 def list_entries(dirs: DataFrame, skip_unreadable: bool = False) -> DataFrame:
     """The entries of each directory: ``path, is_dir, error``.
 
@@ -83,10 +94,10 @@ def walk(spark: SparkSession, directory: str, patterns: tuple[str, ...], skip_un
     level = spark.createDataFrame([(root,)], "path string")
     files = spark.createDataFrame([], "path string, error string")
     kept = ~exclude_exact(F.col("path"), patterns) | F.col("error").isNotNull()
-    while not level.isEmpty():
+    while folders := level.count():
         # A directory with very many entries is listed by one task; its
         # subdirectories are spread again before the next round.
-        found = checkpointed(list_entries(level.repartition("path"), skip_unreadable).where(kept))
+        found = checkpointed(list_entries(dealt(level, folders), skip_unreadable).where(kept))
         files = files.union(found.where(~F.col("is_dir")).select("path", "error"))
         level = found.where("is_dir").select("path")
     return files
@@ -129,7 +140,7 @@ def read_texts(paths: DataFrame, skip: type[OSError] | None = None) -> DataFrame
     Paths are spread by hash first, so the files of one large directory are
     read by many tasks.
     """
-    read = read_bytes(paths.repartition("path"), skip)
+    read = read_bytes(dealt(paths), skip)
     text = universal_newlines(decode_utf8(F.col("content")))
     return read.where(F.col("error").isNotNull() | ~is_binary(F.col("content"))).select("path", text.alias("text"), "error")
 
@@ -161,7 +172,7 @@ def unreadable(spark: SparkSession, directory: str, opts: ScanOptions | None = N
     """``path, error`` of the directories and files below a directory that cannot be read now."""
     opts = opts or ScanOptions()
     paths = walk(spark, directory, opts.exclude_patterns, skip_unreadable=True)
-    files = read_bytes(paths.where("error IS NULL").repartition("path"), OSError).where("error IS NOT NULL")
+    files = read_bytes(dealt(paths.where("error IS NULL")), OSError).where("error IS NOT NULL")
     return paths.where("error IS NOT NULL").union(files.select("path", "error"))
 
 

@@ -269,21 +269,33 @@ def _migration_list() -> Column:
 
 RESULT = "struct<ord:int,line:int,env_var_name:string,success:boolean,error:string>"
 CHANGE = "struct<line:int,before:string,after:string>"
+#: Files handed back together, at most, and about how many characters of text.
+ROWS, BATCH_CHARS = 256, 4 << 20
 
 
 def _rewrite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``path, text, kind, import_at, todo`` to what ``rewrite_files`` returns."""
     result = pa.struct([("ord", pa.int32()), ("line", pa.int32()), ("env_var_name", pa.string()), ("success", pa.bool_()), ("error", pa.string())])
     change = pa.struct([("line", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+    done, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        columns = zip(*done, strict=True)
+        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(result), pa.list_(change))
+        return pa.record_batch(
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+            names=["path", "text_before", "text_after", "import_at", "results", "changes"],
+        )
+
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for lo in range(0, batch.num_rows, ROWS) for r in batch.slice(lo, ROWS).to_pylist()):
             text, todo, edits, there = row["text"], row["todo"], [], []
             if text is not None:
                 edits, there = substituted(text, row["kind"], [(m["value"], m["env_var_name"]) for m in todo])
             results = []
             for k, m in enumerate(todo):
                 error = NO_FILE if text is None else None if there[k] else NOT_FOUND if m["value"] else NOT_EXTRACTED
-                results.append({c: m[c] for c in ("ord", "line", "env_var_name")} | {"success": error is None, "error": error})
+                results.append((m["ord"], m["line"], m["env_var_name"], error is None, error))
             every, at, changed = edits, None, []
             if text is not None:
                 changed = changes(text, edits)
@@ -292,17 +304,13 @@ def _rewrite_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     at = text.count("\n", 0, inserted.start) + inserted.text.startswith("\n")
                     every = sorted([inserted, *edits])
                     changed.append((at + 1, None, IMPORT))
-            yield pa.record_batch(
-                [
-                    pa.array([row["path"]], pa.string()),
-                    pa.array([text], pa.string()),
-                    pa.array([None if text is None else applied(text, every)], pa.string()),
-                    pa.array([at], pa.int32()),
-                    pa.array([results], pa.list_(result)),
-                    pa.array([[dict(zip(("line", "before", "after"), c, strict=True)) for c in changed]], pa.list_(change)),
-                ],
-                names=["path", "text_before", "text_after", "import_at", "results", "changes"],
-            )
+            done.append((row["path"], text, None if text is None else applied(text, every), at, results, changed))
+            size += len(text or "") + sum(len(m["env_var_name"] or "") for m in todo)
+            if len(done) >= ROWS or size >= BATCH_CHARS:
+                yield made()
+                done, size = [], 0
+    if done:
+        yield made()
 
 
 def rewrite_files(files: DataFrame, plan: DataFrame) -> DataFrame:

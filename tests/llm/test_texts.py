@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilscan.llm import fingerprints, linking, probminhash, repeats, suffixes
@@ -230,3 +231,28 @@ def test_suffix_buckets_put_equal_strings_together():
         assert all((a == b) == (strings[i] == strings[j]) for i, a in enumerate(run) for j, b in enumerate(run))
         assert strings == sorted(strings)
     assert seen == 12 * 31
+
+
+def test_equal_surroundings_are_not_sorted_again():
+    context = pa.array([b"aa", b"aa", b"bb", b"aa", b"cc", b"cc", b"dd", b"aa", b"aa"])
+    group = np.array([0, 0, 0, 1, 2, 2, 3, 4, 4])
+    place = np.array([0, 0, 0, 0, 0, 0, 0, 0, 1])
+    age = np.array([5, 3, 9, 0, 1, 2, 4, 6, 7])
+    copy, rest = repeats.copies(context, group, place, age, group == 3)
+    # 0 is a later copy of 1, and 5 of 4; 3 and 4 are left alone; 6 is alone here, but other tasks have its anchor.
+    assert np.flatnonzero(copy).tolist() == [0, 5] and rest.tolist() == [1, 2, 6, 7, 8]
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcdef ") for _ in range(900))
+    rows = []
+    for i in range(60):
+        a = rnd.randint(0, 899)
+        rows.append((None if i == 40 else i, base[:a] + rnd.choice(["", "x", "éé"]) + base[a:]))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    for share in (repeats.SHARE, 3):
+        monkeypatch.setattr(repeats, "SHARE", share)
+        monkeypatch.setattr(repeats, "COMMON", 2)
+        got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, cut(order)))

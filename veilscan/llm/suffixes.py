@@ -26,13 +26,16 @@ def distances() -> np.ndarray:
 
 
 DISTANCE = distances()
-WIDTH = np.arange(8)
 
 
-def words(text: np.ndarray, at: np.ndarray, keep: int = 8) -> np.ndarray:
-    """The next eight bytes as numbers that sort like them; all but ``keep`` bytes as zero."""
-    value = text[at[:, None] + WIDTH].view(">u8").reshape(-1).astype(np.uint64)
-    return value if keep >= 8 else (value >> np.uint64(64 - 8 * keep)) if keep else np.zeros(len(at), np.uint64)
+def all_words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as numbers that sort like them."""
+    return np.ndarray(len(text) - 7, ">u8", text, strides=(1,)).astype(np.uint64)
+
+
+def words(every: np.ndarray, at: np.ndarray, keep: int = 8) -> np.ndarray:
+    """Those of ``all_words`` at some places; only the first ``keep`` bytes of each."""
+    return every[at] if keep >= 8 else (every[at] >> np.uint64(64 - 8 * keep)) if keep else np.zeros(len(at), np.uint64)
 
 
 def dense(*keys: np.ndarray) -> np.ndarray:
@@ -60,12 +63,13 @@ class Block:
         self.begin = first * PERIOD + pad
         self.text = np.zeros(int(rows.sum()) * PERIOD + 256, np.uint8)
         self.text[ragged(self.begin, size)] = data
+        self.words = all_words(self.text)
         self.ranks = self.cover_ranks(np.repeat(np.arange(len(size)), rows), int(size.max(initial=0)))
 
     def cover_ranks(self, slot: np.ndarray, longest: int) -> np.ndarray:
         """Ranks of the cover positions, by period and place in the cover, to the end of their slot."""
         at = (np.arange(len(slot))[:, None] * PERIOD + COVER).reshape(-1)
-        keys = [words(self.text, at), words(self.text, at + 8), words(self.text, at + 16), words(self.text, at + 24, PERIOD - 24)]
+        keys = [words(self.words, at), words(self.words, at + 8), words(self.words, at + 16), words(self.words, at + 24, PERIOD - 24)]
         rank = dense(*keys).reshape(-1, len(COVER))
         step = 1
         while step * PERIOD < longest:
@@ -95,9 +99,11 @@ class Block:
             place, far = at[own], int(DISTANCE[r])
             tie = self.ranks[(place + far) // PERIOD, int(np.searchsorted(COVER, (r + far) % PERIOD))]
             mine = group[text[own]]
-            order = np.lexsort((tie, words(self.text, place + 8, max(far - 8, 0)), words(self.text, place, far), mine))
+            order = np.lexsort((tie, words(self.words, place + 8, max(far - 8, 0)), words(self.words, place, far), mine))
             own, place, mine = own[order], place[order], mine[order]
-            content = self.text[place[:, None] + np.arange(length)]
             new = np.ones(len(own), bool)
-            new[1:] = (mine[1:] != mine[:-1]) | (content[1:] != content[:-1]).any(axis=1)
+            new[1:] = mine[1:] != mine[:-1]
+            for done in range(0, length, 8):
+                content = words(self.words, place + done, length - done)
+                new[1:] |= content[1:] != content[:-1]
             yield text[own], start[own], np.cumsum(new) - 1
